@@ -3,10 +3,11 @@
 A pair of neighbouring bytes that no vocabulary token holds can't lie inside any merge result, so a cut between the two
 is certain: what stands left and right of it is encoded independently and concatenated. The pre-tokenizer sees whole
 texts, so of the certain cuts only those are used at which it can't tell the difference: between a byte outside and a
-byte inside a set S of white space (space and newline at first). A run of white space that the cut divides gives the
-same pieces either way, because its last character is split off on the right of the cut and no merge crosses the cut.
-`cut_set` derives S from the vocabulary; a fragment is then a run of S followed by a run of other characters, in
-practice a word with what separates it, and few distinct fragments make up a large corpus. Each worker keeps a bounded
+byte inside S, the set of space and newline. A run of white space that the cut divides gives the same pieces either way,
+because its last character is split off on the right of the cut and no merge crosses the cut. Where the vocabulary does
+hold a pair (here: the last byte of a no-break space before a space), `fragment_pattern` leaves the text in one piece. A
+fragment is a run of S followed by other characters, in practice a word with what separates it, and few distinct
+fragments make up a large corpus. Each worker keeps a bounded
 table of fragments it has encoded. There is no shuffle: one pass over the text, constant memory for texts of any length.
 
 Null text: as the empty text (no ids). The special token's literal in a text becomes its id, as the library does.
@@ -16,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,11 @@ from pyspark.sql import types as T
 
 from .common import TOKENIZER
 
-CACHE_ENTRIES = 1 << 18
+#: How byte-level BPE splits texts before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What the split surely leaves whole: Latin letters, perhaps after one space.
+one_piece = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+CACHE_ENTRIES = 1 << 17
 CACHED_LENGTH = 48
 CHUNK = 1 << 19
 
@@ -59,20 +66,46 @@ def inner_pairs(tokens: list[bytes]) -> np.ndarray:
     return inside
 
 
-def cut_set(inside: np.ndarray) -> str:
-    """White space before which, after any other byte, a cut is certain; empty if there is none."""
-    s = {0x20, 0x0A}
-    while s:
-        bad = {(a, b) for b in s for a in range(256) if a not in s and inside[a, b]}
-        if not bad:
-            break
-        grow = {a for a, _ in bad if a in (9, 11, 12, 13)}
-        s = s | grow if grow else s - {b for _, b in bad}
-    return "".join(map(chr, sorted(s)))
+CUT_BEFORE = " \n"
+
+
+def fragment_pattern(inside: np.ndarray) -> tuple[str, str]:
+    """Patterns of a fragment and of a character after which a cut is certain.
+
+    Characters whose last byte stands before a byte of CUT_BEFORE in some token are held to what follows them; beyond the
+    basic plane all characters are, if any is.
+    """
+    s = re.escape(CUT_BEFORE)
+    bad = {a for a in range(256) if chr(a) not in CUT_BEFORE and any(inside[a, ord(c)] for c in CUT_BEFORE)}
+    held = "".join(re.escape(chr(a)) for a in sorted(bad) if a < 0x80)
+    held += "".join(chr(c) for c in range(0x80, 0x10000) if 0x80 | c & 0x3F in bad and not 0xD800 <= c < 0xE000)
+    if any(a >= 0x80 for a in bad):
+        held += "\U00010000-\U0010ffff"
+    if not held:
+        return f"[{s}]*[^{s}]+|[{s}]+", f"[^{s}](?=[{s}])"
+    return f"[{s}]*[^{s}]+(?:(?<=[{held}])[{s}]+[^{s}]*)*|[{s}]+", f"[^{s}{held}](?=[{s}])"
+
+
+def ranked_encoder(spec: dict, bytes_of: list[bytes], added: set[int]):
+    """An encoder of fragments by merge ranks, which gives the same ids several times faster, or None if it may not.
+
+    It may if the vocabulary is plain byte-level BPE with the usual split and every merge makes a higher id than the last.
+    """
+    vocab, model = spec["model"]["vocab"], spec["model"]
+    made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    plain = all(a < b for a, b in zip(made, made[1:])) and not spec.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges")
+    kinds = spec.get("pre_tokenizer") or {}
+    if not plain or kinds.get("type") != "ByteLevel" or kinds.get("add_prefix_space") or not kinds.get("use_regex", True):
+        return None
+    import tiktoken
+
+    ranks = {t: i for i, t in enumerate(bytes_of) if t and i not in added}
+    return tiktoken.Encoding("fragments", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -90,28 +123,37 @@ class Encoder:
         inside = inner_pairs(self.bytes_of)
         for t, i in added.items():
             self.bytes_of[i] = t.encode()
-        s = re.escape(cut_set(inside))
-        self.frag = re.compile(f"[{s}]*[^{s}]+|[{s}]+" if s else r"[\s\S]+").findall
-        self.cut = re.compile(f"[^{s}](?=[{s}])" if s else "(?!)")
+        fragment, cut = fragment_pattern(inside)
+        self.frag = re.compile(fragment).findall
+        self.cut = re.compile(cut)
         # a plain text can be cut anywhere; one that holds an added token is cut around it first, as the library does
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else re.compile("((?!))")
         self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
         self.marks = [t for t in added]
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        ranks = ranked_encoder(spec, self.bytes_of, set(added.values()))
+        self.ranked = ranks and ranks.encode_ordinary
+        self.merged = getattr(ranks, "_encode_single_piece", None) or self.ranked  # without the split
 
-    def _learn(self, fragments: list[str]) -> dict[str, bytes]:
-        made = {f: np.array(e.ids, "<u4").tobytes() for f, e in zip(fragments, self.tok.encode_batch(fragments, add_special_tokens=False))}
-        if len(self.known) + len(made) > CACHE_ENTRIES:
-            self.known.clear()
-        self.known.update((f, v) for f, v in made.items() if len(f) <= CACHED_LENGTH)
-        return made
+    def _ids(self, fragment: str) -> bytes:
+        if self.ranked:
+            return array("I", self.ranked(fragment) if not one_piece(fragment) else self.merged(fragment)).tobytes()
+        return array("I", self.tok.encode(fragment, add_special_tokens=False).ids).tobytes()
 
     def _plain(self, text: str) -> bytes:
         fragments = self.frag(text)
         parts = list(map(self.known.get, fragments))
         if None in parts:
-            made = self._learn(list({f for f, p in zip(fragments, parts) if p is None}))
-            parts = [made[f] if p is None else p for f, p in zip(fragments, parts)]
+            known, old = self.known, self.old
+            for i, p in enumerate(parts):
+                if p is None:
+                    f = fragments[i]
+                    p = parts[i] = old.get(f) or known.get(f) or self._ids(f)
+                    if len(f) <= CACHED_LENGTH:
+                        known[f] = p
+            if len(known) > CACHE_ENTRIES:  # the last generation stays readable, what is used of it moves on
+                self.known, self.old = {}, known
         return b"".join(parts)
 
     def chunks(self, text: str) -> Iterator[bytes]:
