@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies on the driver; on a cluster without a shared home use --py-files."""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if top not in known:
+        env["PYTHONPATH"] = os.pathsep.join([top, *filter(None, known)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, shards, token_files, toxicity
-from .common import fold, new_path, table
+from .common import fold, new_path, ship, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +40,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, path)
 
 
+def _shipped(f):
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op5_toxicity, op7_sharding, op10_token_files)}
+    return {f.__name__: _shipped(f) for f in (op1_bpe, op2_language_id, op5_toxicity, op7_sharding, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
