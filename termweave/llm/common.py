@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,10 +48,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def scratch(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write ``df`` once to shared storage and read it back: lineage is cut and no lost executor makes it run again."""
+    """Write ``df`` once to shared storage and read it back: lineage is cut and no lost executor makes it run again.
+
+    What was shuffled for it goes as soon as it is written.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from .bpe import slices
 
 TRAIN_ROWS = 12_000
-WORD_SLOTS, GRAM_SLOTS = 1 << 17, 1 << 15
+WORD_SLOTS, GRAM_BITS = 1 << 17, 15
+GRAM_SLOTS = 1 << GRAM_BITS
 SWITCH_PENALTY = 9.0
 CLIP = 7.0
 KNOWN_WORDS = 1 << 18
@@ -42,14 +43,19 @@ _CODE = np.array([NAMES.index(s) for _, s in SCRIPTS])
 words_of = re.compile(r"[^\W\d_]+").findall
 
 
-def script(word: str) -> int:
-    return int(_CODE[np.searchsorted(_ENDS, ord(word[0]), "right")])
-
-
-def slots(word: str) -> tuple[int, list[int]]:
-    """The word's slot and those of its 3-grams, borders included."""
-    w = f"<{word}>"
-    return xxhash.xxh3_64_intdigest(word) & (WORD_SLOTS - 1), [xxhash.xxh3_64_intdigest(w[i : i + 3]) & (GRAM_SLOTS - 1) for i in range(len(w) - 2)]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its script and slot; of all words the slots of their 3-grams, borders included; where each word's begin."""
+    body = "".join(f"<{w}>" for w in words)
+    x = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    begin = np.concatenate([[0], np.cumsum(lengths + 2)[:-1]])
+    h = np.zeros(len(x), np.uint64)
+    for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
+        h[: len(x) - k] = (h[: len(x) - k] ^ x[k:]) * np.uint64(odd)
+    inside = np.ones(len(x), bool)
+    inside[np.concatenate([begin + lengths, begin + lengths + 1])] = False  # 3-grams that would cross into the next word
+    slot = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) & (WORD_SLOTS - 1) for w in words), np.int64, len(words))
+    return _CODE[np.searchsorted(_ENDS, x[begin + 1], "right")], slot, (h[inside] >> np.uint64(64 - GRAM_BITS)).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
 
 class Model:
@@ -64,35 +70,45 @@ class Model:
         self.candidate = share > 0.01
         self.candidate[~self.candidate.any(1)] = True
 
-    def score(self, word: str) -> np.ndarray:
-        w, g = slots(word)
-        s = self.grams[g].mean(0) * 2.0
-        if self.seen[w] >= 3:
-            s = s + self.words[w]
-        s = s - s.max()
-        return np.where(self.candidate[script(word)], np.maximum(s, -CLIP), -2 * CLIP).astype(np.float32)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """[word, language]: clipped log likelihoods, 0 for the best candidate of each word."""
+        script, slot, grams, begin = features(words)
+        s = np.add.reduceat(self.grams[grams], begin) / np.diff(begin, append=len(grams))[:, None] * 2.0
+        s += np.where(self.seen[slot] >= 3, 1, 0)[:, None] * self.words[slot]
+        s -= s.max(1, keepdims=True)
+        return np.where(self.candidate[script], np.maximum(s, -CLIP), -2 * CLIP).astype(np.float32)
 
 
 class Scorer(dict):
-    """word -> row of `rows`, filled as words come and emptied when full (between texts)."""
+    """word -> row of `rows`; emptied when full (between texts)."""
 
     def __init__(self, model: Model):
         self.model, self.rows = model, np.zeros((KNOWN_WORDS, len(model.langs)), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[i] = self.model.score(word)
-        self[word] = i
-        return i
-
     def scores(self, words: list[str]) -> np.ndarray:
         if len(self) > KNOWN_WORDS // 2:
             self.clear()
             self.rows = self.rows[:KNOWN_WORDS]
-        ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return self.rows[ids]
+        ids = list(map(self.get, words))
+        if None in ids:
+            new = list(dict.fromkeys(w for w, i in zip(words, ids) if i is None))
+            at = len(self)
+            self.update(zip(new, range(at, at + len(new))))
+            if len(self) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((len(self), self.rows.shape[1]), np.float32)])
+            self.rows[at : at + len(new)] = self.model.scores(new)
+            ids = list(map(self.__getitem__, words))
+        return self.rows[np.array(ids, np.int64)] if ids else self.rows[:0]
+
+
+def one_label(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> int | None:
+    """The label that the best path keeps throughout, if that is sure: no stretch of words gains the penalty elsewhere."""
+    best = int(scores.sum(0).argmax())
+    gain = np.cumsum(scores - scores[:, best : best + 1], 0, dtype=np.float64)
+    low = np.minimum(np.minimum.accumulate(gain, 0), 0)
+    low[1:] = np.minimum(low[:-1], 0)
+    low[0] = 0
+    return best if (gain - low).max() < penalty else None
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -141,14 +157,10 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         for f in frames:
             for l, t in zip(f[lang], f[text]):
                 a = sums.setdefault(l, np.zeros(size, np.int64))
-                uniq: dict[str, int] = {}
-                for w in words_of(t.lower()):
-                    uniq[w] = uniq.get(w, 0) + 1
-                for w, c in uniq.items():
-                    s, g = slots(w)
-                    a[s] += c
-                    a[WORD_SLOTS + np.array(g)] += c
-                    a[WORD_SLOTS + GRAM_SLOTS + script(w)] += c
+                words = words_of(t.lower())
+                if words:
+                    own, slot, grams, _ = features(words)
+                    a += np.bincount(np.concatenate([slot, WORD_SLOTS + grams, WORD_SLOTS + GRAM_SLOTS + own]), minlength=size)
         for l, a in sums.items():
             at = np.flatnonzero(a)
             yield pd.DataFrame({"lang": l, "slot": at, "n": a[at]})
@@ -167,38 +179,42 @@ class Labeller:
     def __init__(self, model: Model):
         self.model, self.scorer = model, Scorer(model)
 
-    def batches(self, texts: Iterator[str | None], spans: bool) -> Iterator[tuple[str, float, list]]:
+    def label(self, texts: list[str | None], spans: bool) -> list[tuple[str, float, list]]:
         """(language, score, spans) of each text, in order."""
-        held: list[tuple[list[str], np.ndarray]] = []
+        got: list = [None] * len(texts)
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         size = 0
-        for t in texts:
+        for i, t in enumerate(texts):
             words = words_of((t or "").lower())
-            held.append((words if spans else [], np.fromiter(map(len, words), np.int32, len(words)), self.scorer.scores(words)))
+            if not words:
+                got[i] = ("und", 0.0, [])
+                continue
+            scores = self.scorer.scores(words)
+            one = one_label(scores)
+            if one is not None:
+                got[i] = (self.model.langs[one], 1.0, [(self.model.langs[one], 0, len(words))] if spans else [])
+                continue
+            held.append((i, len(words), np.fromiter(map(len, words), np.int64, len(words)), scores))
             size += len(words)
             if size > BATCH_WORDS:
-                yield from self._flush(held)
+                self._flush(held, got, spans)
                 held, size = [], 0
-        yield from self._flush(held)
+        self._flush(held, got, spans)
+        return got
 
-    def _flush(self, held: list) -> Iterator[tuple[str, float, list]]:
+    def _flush(self, held: list, got: list, spans: bool) -> None:
         if not held:
             return
-        lengths = np.array([len(x[1]) for x in held])
-        labels = viterbi(np.concatenate([x[2] for x in held]), lengths)
+        lengths = np.array([h[1] for h in held])
+        labels = viterbi(np.concatenate([h[3] for h in held]), lengths)
         at = 0
-        for words, chars, _ in held:
-            own = labels[at : at + len(chars)]
-            at += len(chars)
-            if not len(own):
-                yield "und", 0.0, []
-                continue
+        for i, n, chars, _ in held:
+            own = labels[at : at + n]
+            at += n
             weight = np.bincount(own, chars, len(self.model.langs))
             best = int(weight.argmax())
-            runs = []
-            if words:
-                cuts = np.flatnonzero(np.diff(own, prepend=-1, append=-1))
-                runs = [(self.model.langs[own[i]], int(i), int(j)) for i, j in zip(cuts[:-1], cuts[1:])]
-            yield self.model.langs[best], float(weight[best] / weight.sum()), runs
+            cuts = np.flatnonzero(np.diff(own, prepend=-1, append=-1)) if spans else []
+            got[i] = (self.model.langs[best], float(weight[best] / weight.sum()), [(self.model.langs[own[a]], int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:])])
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first_word", T.IntegerType()), T.StructField("end_word", T.IntegerType())]))
@@ -219,7 +235,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", spans: bool
         labeller = Labeller(own) if own else None
         for b in slices(batches, 1024):
             texts = b.column(keep.index(text)).to_pylist()
-            got = list(labeller.batches(texts, spans)) if labeller else [("und", 0.0, [])] * len(texts)
+            got = labeller.label(texts, spans) if labeller else [("und", 0.0, [])] * len(texts)
             cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             if spans:
                 kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
