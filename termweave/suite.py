@@ -1,11 +1,523 @@
-"""The library's queries, each with the SQL that gives the same rows."""
+"""The library's queries, each with the SQL that gives the same rows. All run over whole tables.
+
+Sessions on four datasets: line items (scalar fields), orders with the set of their parts (a multi-valued integer field),
+documents with the set of their lower-case words (a multi-valued string field) and events (a time field).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import frontend
+from .operators.session import Session
+from .plans.query import And, Not, Or, Range, Term, parse
+from .plans.rules import Condition, MultiRule, QueryRule, Rule
+from .sources import catalog, dataset
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
 
-def queries() -> dict:
-    return {}
+def query(sql: str, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        _QUERIES[key], _SQL[key] = f, sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def lines(spark: SparkSession, d: str) -> Session:
+    return Session.open(_table(spark, d, "lineitem"), ints=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"], strings=["l_returnflag", "l_linestatus", "l_discount"])
+
+
+def orders(spark: SparkSession, d: str) -> Session:
+    parts = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("partkeys"))
+    o = _table(spark, d, "orders").join(parts, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "partkeys")
+    return Session.open(o)
+
+
+def words(spark: SparkSession, d: str) -> Session:
+    docs = _table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", F.array_distinct(F.split(F.lower("text"), "[^a-z]+")).alias("tokens"))
+    return Session.open(docs)
+
+
+def events(spark: SparkSession, d: str) -> Session:
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("unixtime")
+    return Session.open(_table(spark, d, "events").select("event_id", "user_id", "event_type", seconds))
+
+
+L = "(SELECT *, l_quantity::BIGINT AS q, l_linenumber::BIGINT AS ln FROM lineitem)"
+O = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, list_distinct(list(l_partkey)) AS pk FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)"
+D = "(SELECT doc_id, lang, source, n_chars, list_distinct(string_split_regex(lower(text), '[^a-z]+')) AS toks FROM documents)"
+E = "(SELECT *, floor(epoch(ts))::BIGINT AS t FROM events)"
+COUNT = "count(*)::BIGINT AS s0"
+
+
+def _grouped(case: str, source: str = L, stats: str = COUNT) -> str:
+    return f"SELECT * FROM (SELECT ({case})::INT AS grp, {stats} FROM {source} GROUP BY 1) WHERE grp <> 0"
+
+
+# regroups ---------------------------------------------------------------------------------------------------------------
+
+FLAG_A = Rule(1, Condition("l_returnflag", "A"), 1, 2)
+
+
+@query(_grouped("CASE WHEN l_returnflag = 'A' THEN 2 ELSE 1 END", stats=COUNT + ", sum(q)::BIGINT AS s1"))
+def q01_group_stats_after_regroup(spark, d):
+    return lines(spark, d).regroup([FLAG_A]).push("count()", "l_quantity").group_stats()
+
+
+@query(
+    f"""WITH d AS (SELECT *, (CASE WHEN q <= 25 THEN 1 ELSE 2 END)::INT AS grp FROM {L})
+SELECT 'l_linenumber' AS field, true AS is_int, ln AS int_term, NULL::VARCHAR AS str_term, grp, count(*)::BIGINT AS s0, sum(q)::BIGINT AS s1 FROM d GROUP BY ALL
+UNION ALL SELECT 'l_returnflag', false, NULL, l_returnflag, grp, count(*)::BIGINT, sum(q)::BIGINT FROM d GROUP BY ALL"""
+)
+def q02_ftgs_int_string(spark, d):
+    s = lines(spark, d).regroup([Rule(1, Condition("l_quantity", 25, True), 2, 1)])
+    return s.push("count()", "l_quantity").ftgs(["l_linenumber"], ["l_returnflag"])
+
+
+@query(f"SELECT term, 1::INT AS grp, count(*)::BIGINT AS s0, sum(n_chars)::BIGINT AS s1 FROM (SELECT unnest(toks) AS term, n_chars FROM {D} WHERE lang = 'en') GROUP BY term")
+def q03_ftgs_multivalued(spark, d):
+    s = words(spark, d).regroup([Rule(1, Condition("lang", "en"), 0, 1)]).push("count()", "n_chars")
+    return s.ftgs([], ["tokens"]).select(F.col("str_term").alias("term"), "grp", "s0", "s1")
+
+
+@query(_grouped("CASE WHEN q < 10 THEN 6 WHEN q >= 40 THEN 7 ELSE (q - 10) // 7 + 1 END"))
+def q04_metric_regroup_gutters(spark, d):
+    return lines(spark, d).push("l_quantity").metric_regroup(0, 10, 40, 7).pop().push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN q < 9 OR q >= 17 THEN 0 ELSE (CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) * 2 + (q - 9) // 4 + 1 END"))
+def metric_regroup_no_gutters(spark, d):
+    return lines(spark, d).regroup([FLAG_A]).push("l_quantity").metric_regroup(0, 9, 17, 4, gutters=False).pop().push("count()").group_stats()
+
+
+@query(
+    f"""WITH i AS (SELECT CASE WHEN q < 10 THEN 0 WHEN q >= 40 THEN 4 ELSE (q - 10) // 10 + 1 END AS xi, CASE WHEN ln < 2 THEN 0 WHEN ln >= 6 THEN 3 ELSE (ln - 2) // 2 + 1 END AS yi FROM {L})
+SELECT (yi * 5 + xi + 1)::INT AS grp, count(*)::BIGINT AS s0 FROM i GROUP BY 1"""
+)
+def q05_metric_regroup_2d(spark, d):
+    s = lines(spark, d).push("l_quantity", "l_linenumber")
+    return s.metric_regroup_2d(0, 10, 40, 10, 1, 2, 6, 2)[0].pop().pop().push("count()").group_stats()
+
+
+CHANCE = """(SELECT *, abs(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616::HUGEINT ELSE u END)::DOUBLE / 9223372036854775807::DOUBLE AS r
+FROM (SELECT *, ('0x' || substr(md5({term} || '|{salt}'), 1, 16))::UBIGINT::HUGEINT AS u FROM {source}))"""
+
+
+@query(_grouped("CASE WHEN r >= 0.5 THEN 2 ELSE 1 END", CHANCE.format(term="l_returnflag", salt="salt", source="lineitem")))
+def q06_random_regroup(spark, d):
+    return lines(spark, d).random_regroup("l_returnflag", False, "salt", 0.5, 1, 1, 2).push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN r >= 0.3 THEN 2 ELSE 1 END", CHANCE.format(term="l_partkey::VARCHAR", salt="x7", source="lineitem")))
+def random_regroup_int(spark, d):
+    return lines(spark, d).random_regroup("l_partkey", True, "x7", 0.3, 1, 1, 2).push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN r < 0.1 THEN 5 WHEN r < 0.5 THEN 6 ELSE 7 END", CHANCE.format(term="l_orderkey::VARCHAR", salt="salt", source="lineitem")))
+def random_multi_regroup(spark, d):
+    return lines(spark, d).random_multi_regroup("l_orderkey", True, "salt", 1, [0.1, 0.5], [5, 6, 7]).push("count()").group_stats()
+
+
+@query(
+    f"""WITH t AS (SELECT o_orderkey, unnest(pk) AS term FROM {O}), v AS (SELECT o_orderkey, term, r FROM {CHANCE.format(term="term::VARCHAR", salt="s", source="t")}),
+f AS (SELECT o_orderkey, min(term) FILTER (WHERE r >= 0.9) AS first_out FROM v GROUP BY 1)
+SELECT (CASE WHEN first_out IS NULL THEN 1 ELSE 2 END)::INT AS grp, count(*)::BIGINT AS s0 FROM f GROUP BY 1"""
+)
+def random_regroup_multivalued(spark, d):
+    return orders(spark, d).random_regroup("partkeys", True, "s", 0.9, 1, 1, 2).push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN (l_returnflag = 'A' OR l_linestatus = 'O') AND NOT (q >= 10 AND q < 20) THEN 1 ELSE 0 END"))
+def q07_boolean_query(spark, d):
+    q = And(Or(Term("l_returnflag", "A"), Term("l_linestatus", "O")), Not(Range("l_quantity", 10, 20, inclusive=False)))
+    return lines(spark, d).regroup_query(QueryRule(1, q, 0, 1)).push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN l_returnflag IN ('A', 'R') AND ln BETWEEN 2 AND 4 AND NOT (l_linestatus = 'F' OR q = 7) THEN 3 ELSE 1 END"))
+def query_text(spark, d):
+    q = parse("+(l_returnflag:A l_returnflag:R) +l_linenumber:[2 TO 4] -l_linestatus:F -l_quantity:7", ["l_linenumber", "l_quantity"])
+    return lines(spark, d).regroup_query(QueryRule(1, q, 1, 3)).push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN list_contains(toks, 'the') AND len(list_filter(toks, lambda t: t >= 'er' AND t < 'es')) > 0 THEN 1 ELSE 0 END", D))
+def query_prefix_phrase(spark, d):
+    return words(spark, d).regroup_query(QueryRule(1, parse('+tokens:"the" +tokens:er*'), 0, 1)).push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN l_returnflag = 'A' THEN 3 WHEN q <= 10 THEN 4 WHEN q <= 30 THEN 5 ELSE 2 END"))
+def q08_multi_split(spark, d):
+    rule = MultiRule(1, 2, [3, 4, 5], [Condition("l_returnflag", "A"), Condition("l_quantity", 10, True), Condition("l_quantity", 30, True)])
+    return lines(spark, d).regroup_multi([rule]).push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN l_returnflag = 'A' THEN CASE WHEN ln = 1 THEN 4 WHEN ln = 2 THEN 5 ELSE 6 END ELSE CASE WHEN q <= 25 THEN 2 ELSE 3 END END"))
+def multi_split_two_targets(spark, d):
+    rules = [MultiRule(1, 3, [2], [Condition("l_quantity", 25, True)]), MultiRule(2, 6, [4, 5], [Condition("l_linenumber", 1), Condition("l_linenumber", 2)])]
+    return lines(spark, d).regroup([FLAG_A]).regroup_multi(rules, error_on_collisions=True).push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN l_returnflag = 'A' THEN 2 ELSE 0 END"))
+def multi_split_untargeted(spark, d):
+    return lines(spark, d).regroup([FLAG_A]).regroup_multi([MultiRule(2, 2, [], [])]).push("count()").group_stats()
+
+
+@query("SELECT 0::INT AS grp, count(*)::BIGINT AS s0 FROM lineitem")
+def regroup_empty(spark, d):
+    return lines(spark, d).regroup_multi([]).push("count()").group_stats(with_zero=True)
+
+
+@query("SELECT (CASE WHEN l_returnflag = 'A' THEN 0 WHEN ln <= 3 THEN 4 ELSE 3 END)::INT AS grp, count(*)::BIGINT AS s0 FROM " + L + " GROUP BY 1")
+def regroup_multi_target(spark, d):
+    rules = [Rule(1, Condition("l_linenumber", 3, True), 3, 4), Rule(1, None, 9, 9), Rule(7, None, 8, 8)]
+    return lines(spark, d).regroup([FLAG_A]).regroup(rules).push("count()").group_stats(with_zero=True)
+
+
+@query(_grouped("CASE WHEN l_returnflag <= 'N' THEN 2 ELSE 3 END"))
+def regroup_string_le(spark, d):
+    return lines(spark, d).regroup([Rule(1, Condition("l_returnflag", "N", True), 3, 2)]).push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN list_min(pk) <= 40 THEN 2 ELSE 1 END", O))
+def regroup_multivalued_le(spark, d):
+    return orders(spark, d).regroup([Rule(1, Condition("partkeys", 40, True), 1, 2)]).push("count()").group_stats()
+
+
+@query(_grouped("1"))
+def regroup_null_condition_reset(spark, d):
+    return lines(spark, d).regroup([Rule(1, None, 0, 5)]).reset_groups().push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN o_custkey % 100 = q THEN q + 100 ELSE q END", "(SELECT *, (o_custkey % 60) + 1 AS q FROM orders)"))
+def regroup_many_rules(spark, d):
+    o = _table(spark, d, "orders").select("o_custkey", (F.col("o_custkey") % 60 + 1).alias("q"), (F.col("o_custkey") % 100).alias("r"))
+    s = Session.open(o).push("q").metric_regroup(0, 1, 61, 1).pop()
+    return s.regroup(iter([Rule(g, Condition("r", g), g, g + 100) for g in range(1, 61)]), count=60).push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN l_partkey IN (5, 1, 9, 33, 2) THEN 1 ELSE 0 END"))
+def int_or_regroup(spark, d):
+    return lines(spark, d).int_or_regroup("l_partkey", [5, 1, 9, 33, 2], 1, 0, 1).push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN list_has_any(pk, [1, 2, 3]) THEN 1 ELSE 2 END", O, COUNT + ", sum(least(len(pk), 255))::BIGINT AS s1"))
+def q13_multi_valued_int(spark, d):
+    return orders(spark, d).int_or_regroup("partkeys", [1, 2, 3], 1, 2, 1).push("count()", "inttermcount partkeys").group_stats()
+
+
+@query(_grouped("CASE WHEN l_returnflag IN ('R', 'A') THEN 4 ELSE 1 END"))
+def string_or_regroup(spark, d):
+    return lines(spark, d).string_or_regroup("l_returnflag", ["R", "A", "Q"], 1, 1, 4).push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN len(list_filter(toks, lambda t: regexp_full_match(t, 'th[a-e]+n?'))) > 0 THEN 2 ELSE 1 END", D))
+def regex_regroup(spark, d):
+    return words(spark, d).regex_regroup("tokens", "th[a-e]+n?", 1, 1, 2).push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN q BETWEEN 10 AND 20 THEN 1 ELSE 0 END"))
+def metric_filter(spark, d):
+    return lines(spark, d).push("l_quantity").metric_filter(0, 10, 20).pop().push("count()").group_stats()
+
+
+@query(_grouped("CASE WHEN q BETWEEN 10 AND 20 THEN 0 ELSE 1 END"))
+def metric_filter_negate(spark, d):
+    return lines(spark, d).push("l_quantity").metric_filter(0, 10, 20, negate=True).pop().push("count()").group_stats()
+
+
+@query("SELECT 8::INT AS num_groups")
+def num_groups(spark, d):
+    return lines(spark, d).push("l_linenumber").metric_regroup(0, 1, 8, 1, gutters=False).num_groups()
+
+
+@query("SELECT doc_id, (CASE WHEN lang = 'de' THEN 3 ELSE 0 END)::INT AS grp FROM documents")
+def doc_groups(spark, d):
+    return words(spark, d).regroup([Rule(1, Condition("lang", "de"), 0, 3)]).doc_groups("doc_id")
+
+
+@query(f"SELECT 'l_returnflag' AS field, l_returnflag AS str_term, 1::INT AS grp, count(*)::BIGINT AS s0 FROM {L} WHERE q > 25 GROUP BY ALL")
+def rebuild_filtered(spark, d):
+    s = lines(spark, d).regroup([Rule(1, Condition("l_quantity", 25, True), 1, 0)]).rebuild([], ["l_returnflag"]).push("count()")
+    return s.ftgs(["l_linenumber"], ["l_returnflag"]).select("field", "str_term", "grp", "s0")
+
+
+@query("SELECT 1::INT AS grp, count(*)::BIGINT AS s0, sum(l_linenumber)::BIGINT AS s1 FROM lineitem")
+def rebuild_then_reset(spark, d):
+    s = lines(spark, d).regroup([Rule(1, Condition("l_quantity", 25, True), 1, 0)]).rebuild([], ["l_returnflag"])
+    return s.reset_groups().push("count()", "l_linenumber").group_stats()
+
+
+# boolean queries --------------------------------------------------------------------------------------------------------
+
+BY_QUERY = {
+    "string_range": (lines, Range("l_returnflag", "B", "R", inclusive=False), "l_returnflag >= 'B' AND l_returnflag < 'R'", L),
+    "string_range_inclusive": (words, Range("tokens", "the", "theb"), "len(list_filter(toks, lambda t: t >= 'the' AND t <= 'theb')) > 0", D),
+    "string_range_numeric": (lambda s, d: Session.open(_table(s, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("supp"))), Range("supp", "5", "12"), "l_suppkey BETWEEN 5 AND 12", "lineitem"),
+    "int_range_missing_is_zero": (lambda s, d: Session.open(_table(s, d, "lineitem").select(F.when(F.col("l_linenumber") > 2, F.col("l_linenumber")).alias("n"))), Range("n", -1, 3), "l_linenumber <= 3", "lineitem"),
+    "int_range_multivalued": (orders, Range("partkeys", 0, 1500), "list_max(pk) BETWEEN 0 AND 1500", O),
+    "query_not_many": (lines, Not(Term("l_linenumber", 1), Term("l_linenumber", 2), Term("l_returnflag", "N")), "NOT (ln IN (1, 2) OR l_returnflag = 'N')", L),
+    "query_missing_field": (lines, Or(Term("nowhere", 3), Term("l_linenumber", 5)), "ln = 5", L),
+}
+for _name, (_open, _q, _sql, _source) in BY_QUERY.items():
+    query(_grouped(f"CASE WHEN {_sql} THEN 2 ELSE 1 END", _source), _name)(lambda spark, d, o=_open, q=_q: o(spark, d).regroup_query(QueryRule(1, q, 1, 2)).push("count()").group_stats())
+
+
+# metrics ----------------------------------------------------------------------------------------------------------------
+
+Q, N = "q", "ln"
+BY_METRIC = {
+    "m_count": (lines, ["count()"], "1"),
+    "m_constant": (lines, ["-17"], "-17"),
+    "m_field": (lines, ["l_partkey"], "l_partkey"),
+    "m_add": (lines, ["l_quantity", "l_linenumber", "+"], "q + ln"),
+    "m_subtract": (lines, ["l_linenumber", "l_quantity", "-"], "ln - q"),
+    "m_multiply": (lines, ["l_quantity", "l_linenumber", "*"], "q * ln"),
+    "m_divide": (lines, ["l_quantity", "l_linenumber", "4", "-", "/"], "CASE WHEN ln = 4 THEN 0 ELSE q // (ln - 4) END"),
+    "m_modulus": (lines, ["l_linenumber", "l_quantity", "-", "7", "%"], "(ln - q) % 7"),
+    "m_abs": (lines, ["l_linenumber", "l_quantity", "-", "abs()"], "abs(ln - q)"),
+    "m_min": (lines, ["l_quantity", "20", "min()"], "least(q, 20)"),
+    "m_max": (lines, ["l_quantity", "20", "max()"], "greatest(q, 20)"),
+    "m_eq": (lines, ["l_quantity", "20", "="], "(q = 20)::BIGINT"),
+    "m_neq": (lines, ["l_quantity", "20", "!="], "(q <> 20)::BIGINT"),
+    "m_lt": (lines, ["l_quantity", "20", "<"], "(q < 20)::BIGINT"),
+    "m_lte": (lines, ["l_quantity", "20", "<="], "(q <= 20)::BIGINT"),
+    "m_gt": (lines, ["l_quantity", "20", ">"], "(q > 20)::BIGINT"),
+    "m_gte": (lines, ["l_quantity", "20", ">="], "(q >= 20)::BIGINT"),
+    "m_log": (lines, ["l_quantity", "log 100"], "trunc((ln(q) - ln(100)) * 100)::BIGINT"),
+    "m_mulshr": (lines, ["l_quantity", "l_linenumber", "mulshr 3"], "(q * ln) >> 3"),
+    "m_shldiv": (lines, ["l_quantity", "l_linenumber", "3", "-", "shldiv 4"], "CASE WHEN ln = 3 THEN 0 ELSE (q << 4) // (ln - 3) END"),
+    "m_hasint": (lines, ["hasint l_linenumber:3"], "(ln = 3)::BIGINT"),
+    "m_hasstr": (lines, ["hasstr l_returnflag:R"], "(l_returnflag = 'R')::BIGINT"),
+    "m_regex": (lines, ["regex l_returnflag:[AN]"], "(l_returnflag IN ('A', 'N'))::BIGINT"),
+    "m_regex_int": (lines, ["regex l_partkey:1.*9"], "regexp_full_match(l_partkey::VARCHAR, '1.*9')::BIGINT"),
+    "m_strtermcount": (lines, ["strtermcount l_returnflag", "inttermcount l_partkey", "+"], "2"),
+    "m_ref": (lines, ["l_quantity", "l_linenumber", "ref 1", "*", "-"], "q - ln * q"),
+    "m_cached_interleave": (lines, ["l_quantity", "cached()", "l_linenumber", "interleave 2", "+"], "q + ln"),
+    "m_query": (lines, ["lucene +l_linenumber:2 -l_returnflag:A", "l_quantity", "*"], "CASE WHEN ln = 2 AND l_returnflag <> 'A' THEN q ELSE 0 END"),
+    "m_multivalued": (orders, ["partkeys", "hasint partkeys:12", "+"], "list_max(pk) + list_contains(pk, 12)::BIGINT"),
+    "m_words": (words, ["strtermcount tokens", "hasstr tokens:the", "regex tokens:an.*", "+", "+"], "least(len(toks), 255) + list_contains(toks, 'the')::BIGINT + (len(list_filter(toks, lambda t: starts_with(t, 'an'))) > 0)::BIGINT"),
+    "m_string_as_int": (lambda s, d: Session.open(_table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("c"), F.col("o_orderstatus").alias("o"))), ["c", "o", "+"], "o_custkey"),
+    "m_time_alias": (events, ["time", "86400", "/"], "t // 86400"),
+    "q09_floatscale": (lines, ["floatscale l_discount*100+7"], "coalesce(floor(try_cast(l_discount::VARCHAR AS DOUBLE) * 100 + 7 + 0.5), 0)::BIGINT"),
+}
+_SOURCES = {"m_multivalued": O, "m_words": D, "m_string_as_int": "orders", "m_time_alias": E}
+for _name, (_open, _push, _sql) in BY_METRIC.items():
+    query(f"SELECT 1::INT AS grp, sum({_sql})::BIGINT AS s0 FROM {_SOURCES.get(_name, L)}", _name)(
+        lambda spark, d, o=_open, p=tuple(_push): (lambda s: s.group_stats().select("grp", F.col(f"s{len(s.stack) - 1}").alias("s0")))(o(spark, d).push(*p))
+    )
+
+
+@query(
+    f"""WITH p AS (SELECT q - 25 AS v FROM {L})
+SELECT 1::INT AS grp, sum(trunc(exp(v / 10.0::DOUBLE) * 10)::BIGINT)::BIGINT AS s0,
+ sum(trunc((CASE WHEN v > 0 THEN v / 10.0::DOUBLE + ln(1 + exp(-v / 10.0::DOUBLE)) ELSE ln(1 + exp(v / 10.0::DOUBLE)) END) * 10)::BIGINT)::BIGINT AS s1,
+ sum(trunc(100 / (1 + exp(-v / 10.0::DOUBLE)))::BIGINT)::BIGINT AS s2 FROM p"""
+)
+def q10_fixed_point(spark, d):
+    v = ["l_quantity", "25", "-"]
+    return lines(spark, d).push(*v, "exp 10", *v, "log1pexp 10", *v, "logistic 10 100").group_stats()
+
+
+# dynamic metrics --------------------------------------------------------------------------------------------------------
+
+
+@query(_grouped("CASE WHEN l_returnflag = 'A' THEN 2 ELSE 1 END", stats="sum(CASE WHEN l_returnflag = 'A' THEN -3 ELSE 5 END)::BIGINT AS s0"))
+def q14_dynamic(spark, d):
+    s = lines(spark, d).create_dynamic_metric("foo").regroup([FLAG_A])
+    return s.update_dynamic_metric("foo", [0, 5, -3]).push("dynamic foo").group_stats()
+
+
+@query("SELECT 1::INT AS grp, sum(least(2147483647, CASE WHEN l_returnflag = 'A' THEN 2147483647::BIGINT ELSE 0 END + 10) - 5)::BIGINT AS s0 FROM lineitem")
+def dyn_saturating(spark, d):
+    s = lines(spark, d).create_dynamic_metric("foo").conditional_update_dynamic_metric("foo", [Condition("l_returnflag", "A")], [2147483647])
+    return s.update_dynamic_metric("foo", [0, 10]).update_dynamic_metric("foo", [0, -5]).push("dynamic foo").group_stats()
+
+
+@query("SELECT 1::INT AS grp, sum(CASE WHEN l_returnflag = 'A' THEN 100 ELSE 0 END + CASE WHEN l_linenumber = 2 THEN -7 ELSE 0 END)::BIGINT AS s0 FROM lineitem")
+def dyn_conditional(spark, d):
+    s = lines(spark, d).create_dynamic_metric("foo")
+    return s.conditional_update_dynamic_metric("foo", [Condition("l_returnflag", "A"), Condition("l_linenumber", 2)], [100, -7]).push("dynamic foo").group_stats()
+
+
+@query(_grouped("CASE WHEN l_returnflag = 'A' THEN 2 ELSE 1 END", stats="sum(CASE WHEN l_returnflag = 'A' AND l_linenumber = 1 THEN 4 WHEN l_returnflag <> 'A' AND l_linenumber = 2 THEN 9 ELSE 0 END)::BIGINT AS s0"))
+def dyn_group_conditional(spark, d):
+    s = lines(spark, d).create_dynamic_metric("foo").regroup([FLAG_A])
+    one, two = Condition("l_linenumber", 1), Condition("l_linenumber", 2)
+    return s.group_conditional_update_dynamic_metric("foo", [2, 2, 1, 8], [one, one, two, one], [3, 4, 9, 50]).push("dynamic foo").group_stats()
+
+
+# reads ------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT l_partkey AS term, count(*)::BIGINT AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, term DESC LIMIT 20")
+def q11_top_terms(spark, d):
+    return lines(spark, d).top_terms("l_partkey", True, 20)
+
+
+@query(f"SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest(toks) AS term FROM {D}) GROUP BY 1 ORDER BY n DESC, term DESC LIMIT 50")
+def top_terms_multivalued(spark, d):
+    return words(spark, d).top_terms("tokens", False, 50)
+
+
+@query(_grouped("CASE WHEN t >= 1704067200 AND t < 1704067200 + 30 * 86400 THEN (t - 1704067200) // 86400 + 1 ELSE 0 END", E))
+def q12_time_buckets(spark, d):
+    return events(spark, d).push("time").metric_regroup(0, 1704067200, 1704067200 + 30 * 86400, 86400, gutters=False).pop().push("count()").group_stats()
+
+
+@query(
+    f"""WITH d AS (SELECT *, (CASE WHEN q <= 25 THEN 2 ELSE 0 END)::INT AS grp FROM {L}), f AS (SELECT ln, count(*)::BIGINT AS f FROM d GROUP BY 1)
+SELECT d.ln AS int_term, grp, f AS term_doc_freq, sum(q)::BIGINT AS s0 FROM d JOIN f ON d.ln = f.ln WHERE grp <> 0 GROUP BY ALL"""
+)
+def term_doc_freq(spark, d):
+    s = lines(spark, d).regroup([Rule(1, Condition("l_quantity", 25, True), 0, 2)]).push("l_quantity")
+    return s.ftgs(["l_linenumber"], doc_freq=True).select("int_term", "grp", "term_doc_freq", "s0")
+
+
+@query(f"SELECT (sum(len(pk)) + count(*))::BIGINT AS total_doc_freq FROM {O}")
+def total_doc_freq(spark, d):
+    return orders(spark, d).regroup_multi([]).total_doc_freq(["partkeys", "nowhere"], ["o_orderstatus"])
+
+
+@query(
+    f"""SELECT 'l_linenumber' AS field, ln AS int_term, NULL::VARCHAR AS str_term, 1::INT AS grp, count(*)::BIGINT AS s0 FROM {L} WHERE ln IN (2, 5) GROUP BY ALL
+UNION ALL SELECT 'l_returnflag', NULL, l_returnflag, 1::INT, count(*)::BIGINT FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL"""
+)
+def subset_ftgs(spark, d):
+    return lines(spark, d).push("count()").subset_ftgs({"l_linenumber": [2, 5, 99]}, {"l_returnflag": ["R", "Z"]}).select("field", "int_term", "str_term", "grp", "s0")
+
+
+@query(f"SELECT term AS str_term, 1::INT AS grp, count(*)::BIGINT AS s0 FROM (SELECT unnest(toks) AS term FROM {D}) WHERE term IN ('the', 'and', 'zzz') GROUP BY ALL")
+def subset_ftgs_multivalued(spark, d):
+    return words(spark, d).push("count()").subset_ftgs({}, {"tokens": ["the", "and", "zzz"]}).select("str_term", "grp", "s0")
+
+
+@query(f"SELECT DISTINCT 'l_linenumber' AS field, ln AS int_term, (CASE WHEN l_returnflag = 'A' THEN 2 ELSE 1 END)::INT AS grp FROM {L}")
+def ftgs_zero_stats(spark, d):
+    return lines(spark, d).regroup([FLAG_A]).ftgs(["l_linenumber"]).select("field", "int_term", "grp")
+
+
+@query(f"SELECT l_suppkey AS int_term, count(*)::BIGINT AS s0, sum(q)::BIGINT AS s1 FROM {L} GROUP BY 1")
+def ftgs_splits(spark, d):
+    return lines(spark, d).push("count()", "l_quantity").ftgs_splits(["l_suppkey"]).select("int_term", "s0", "s1")
+
+
+@query("SELECT 2::INT AS grp, l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag = 'A'")
+def doc_rows(spark, d):
+    return lines(spark, d).regroup([Rule(1, Condition("l_returnflag", "A"), 0, 2)]).doc_rows(["l_orderkey", "l_linenumber"], ["l_returnflag"])
+
+
+@query(
+    f"""WITH s AS (SELECT l_suppkey AS int_term, count(*)::BIGINT AS s0, sum(q)::BIGINT AS s1 FROM {L} GROUP BY 1),
+r AS (SELECT 0::INT AS stat, row_number() OVER (ORDER BY s0 DESC, int_term DESC)::INT AS rank, int_term, s0 AS value FROM s
+UNION ALL SELECT 1::INT, row_number() OVER (ORDER BY s1 DESC, int_term DESC)::INT, int_term, s1 FROM s) SELECT * FROM r WHERE rank <= 10"""
+)
+def shell_topk(spark, d):
+    return lines(spark, d).push("count()", "l_quantity").top(10, ["l_suppkey"]).select("stat", "rank", "int_term", "value")
+
+
+@query(f"SELECT count(DISTINCT term)::BIGINT AS n_terms FROM (SELECT unnest(toks) AS term FROM {D} WHERE lang = 'fr')")
+def distinct_terms(spark, d):
+    s = words(spark, d).regroup([Rule(1, Condition("lang", "fr"), 0, 1)])
+    return s.ftgs([], ["tokens"]).agg(F.count_distinct("str_term").alias("n_terms"))
+
+
+# front end --------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH s AS (SELECT l_partkey AS int_term, sum(q)::BIGINT AS s0, count(*)::BIGINT AS s1 FROM {L} WHERE l_partkey::VARCHAR LIKE '%1%' AND l_partkey::VARCHAR NOT LIKE '%0%' GROUP BY 1),
+f AS (SELECT * FROM s ORDER BY s0::DOUBLE / s1 DESC, int_term LIMIT 15) SELECT *, row_number() OVER (ORDER BY s1 ASC, int_term)::INT AS rank FROM f"""
+)
+def frontend_topterms_ratio(spark, d):
+    s = lines(spark, d).push("l_quantity", "count()")
+    out = frontend.top_terms(s, ["l_partkey"], k=15, sort=0, divide_by=1, substrings=["1", "0"], match=[True, False], final_sort=1, final_reverse=True)
+    return out.select("int_term", "s0", "s1", "rank")
+
+
+@query(
+    f"""WITH s AS (SELECT user_id AS int_term, count(*)::BIGINT AS s0 FROM {E} WHERE t >= 1704326400 AND t < 1705536000 AND event_type <> 'view' GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY s0 ASC, int_term)::INT AS rank FROM (SELECT * FROM s ORDER BY s0 ASC, int_term LIMIT 7)"""
+)
+def frontend_topterms_time(spark, d):
+    s = events(spark, d).push("count()")
+    return frontend.top_terms(s, ["user_id"], k=7, reverse=True, query=Not(Term("event_type", "view")), time_field="unixtime", times=(1704326400, 1705536000)).select("int_term", "s0", "rank")
+
+
+@query(
+    f"""WITH a AS (SELECT l_partkey AS term, count(*)::BIGINT AS s0, sum(q)::BIGINT AS s1 FROM {L} GROUP BY 1), b AS (SELECT p_partkey AS term, sum(p_size)::BIGINT AS t0 FROM part GROUP BY 1)
+SELECT * FROM a JOIN b USING (term)"""
+)
+def frontend_key_join(spark, d):
+    parts = Session.open(_table(spark, d, "part").select("p_partkey", "p_size")).push("p_size")
+    return frontend.joined_terms(lines(spark, d).push("count()", "l_quantity"), parts, "l_partkey", "p_partkey", is_int=True)
+
+
+# shards -----------------------------------------------------------------------------------------------------------------
+
+SHARD_NAMES = ["index20240101.20240105000000", "index20240101.20240106000000", "index20240102.20240105000000", "index20240102.06-20240102.18.20240107000000", "index20240104.20240105000000", "other"]
+
+
+def _day(n: int, hour: int = 6) -> datetime:
+    return datetime(2024, 1, n, hour, tzinfo=timezone.utc)
+
+
+def _shards() -> list[catalog.Shard]:
+    return catalog.newest(map(catalog.Shard.parse, SHARD_NAMES))
+
+
+@query(
+    """SELECT * FROM (VALUES ('index20240101', 20240106000000::BIGINT, 1704088800::BIGINT, 1704175200::BIGINT), ('index20240102.06-20240102.18', 20240107000000, 1704196800, 1704240000),
+('index20240104', 20240105000000, 1704348000, 1704434400)) AS t(shard, version, start_s, end_s)"""
+)
+def shard_overlap(spark, d):
+    start, end = _day(1), _day(6)
+    # a request from 12:00 on finds the newer part of the 2nd before the day-long shard
+    late = catalog.without_overlaps(filter(catalog.overlapping(_day(2, 12), end), _shards()), _day(2, 12))
+    early = catalog.without_overlaps(filter(catalog.overlapping(start, _day(2)), _shards()), start)
+    rows = [(s.shard_id, s.version, int(s.times[0].timestamp()), int(s.times[1].timestamp())) for s in [*early, *late]]
+    return spark.createDataFrame(rows, "shard string, version long, start_s long, end_s long")
+
+
+@query("SELECT * FROM (VALUES (1704261600::BIGINT, 1704348000::BIGINT), (1704434400, 1704520800)) AS t(start_s, end_s)")
+def shard_gaps(spark, d):
+    start, end = _day(1), _day(6)
+    chosen = catalog.without_overlaps(filter(catalog.overlapping(start, end), _shards()), start)
+    return spark.createDataFrame([(int(a.timestamp()), int(b.timestamp())) for a, b in catalog.gaps(chosen, start, end)], "start_s long, end_s long")
+
+
+@query("SELECT 1::INT AS grp, ((SELECT count(*) FROM orders) + (SELECT count(*) FROM customer))::BIGINT AS s0, (SELECT sum(o_custkey) FROM orders)::BIGINT AS s1")
+def index_merge(spark, d):
+    both = dataset.merge([_table(spark, d, "orders").select("o_custkey", "o_orderstatus"), _table(spark, d, "customer").select("c_name")])
+    return Session.open(both).push("count()", "o_custkey").group_stats()
+
+
+@query(f"SELECT (q // 10)::BIGINT AS int_term, 1::INT AS grp, count(*)::BIGINT AS s0 FROM {L} GROUP BY 1")
+def add_field(spark, d):
+    df = dataset.add_field(_table(spark, d, "lineitem").select("l_quantity"), "tens", F.floor(F.col("l_quantity") / 10).cast("long"))
+    return Session.open(df).push("count()").ftgs(["tens"]).select("int_term", "grp", "s0")
+
+
+@query("SELECT l_returnflag AS str_term, 1::INT AS grp, count(*)::BIGINT AS s0 FROM lineitem GROUP BY 1")
+def term_stats_merge(spark, d):
+    first = lines(spark, d).regroup([Rule(1, Condition("l_linenumber", 3, True), 0, 1)]).push("count()").ftgs([], ["l_returnflag"])
+    rest = lines(spark, d).regroup([Rule(1, Condition("l_linenumber", 3, True), 1, 0)]).push("count()").ftgs([], ["l_returnflag"])
+    return dataset.merge_term_stats([first, rest]).select("str_term", "grp", "s0")
