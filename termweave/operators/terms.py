@@ -36,23 +36,23 @@ def _among(terms: Column, some: list) -> Column:
     return F.filter(terms, lambda t: t.isin(some)) if some else F.slice(terms, 1, 0)
 
 
-def occurrences(df: DataFrame, fields: Sequence[Field], subsets: Mapping[tuple[str, bool], Sequence] | None, keep: Sequence[str]) -> DataFrame:
+def occurrences(df: DataFrame, fields: Sequence[Field], subsets: Mapping[tuple[str, bool], Sequence] | None, keep: Mapping[str, Column]) -> DataFrame:
     """(field, is_int, int_term, str_term, the kept columns): a row for each document, field and term.
 
     All scalar fields come from one scan; an array field has one of its own. Terms outside a field's subset go before
     anything is exploded.
     """
     subset = lambda f: None if subsets is None else list(subsets[f.name, f.is_int])
-    flat, parts = [f for f in fields if not f.multi], []
+    flat, parts, kept = [f for f in fields if not f.multi], [], [c.alias(n) for n, c in keep.items()]
     if flat:
         here = [F.when(f.column.isNotNull() if subset(f) is None else f.among(subset(f)), _entry(f, f.column)) for f in flat]
-        parts.append(df.select(F.explode(F.array(*here)).alias("_e"), *keep).where("_e is not null"))
+        parts.append(df.select(F.explode(F.array(*here)).alias("_e"), *kept).where("_e is not null"))
     for f in fields:
         if f.multi:
             some, terms = subset(f), f.terms()
             if some is not None:
                 terms = _among(terms, some)
-            parts.append(df.select(F.explode(terms).alias("_t"), *keep).select(_entry(f, F.col("_t")).alias("_e"), *keep))
+            parts.append(df.select(F.explode(terms).alias("_t"), *kept).select(_entry(f, F.col("_t")).alias("_e"), *keep))
     return reduce(DataFrame.unionAll, parts).select("_e.*", *keep)
 
 
@@ -65,8 +65,7 @@ def term_stats(df: DataFrame, fields: Sequence[Field], metrics: Sequence[Column]
     if not fields:
         return df.sparkSession.createDataFrame([], ", ".join(["field string, is_int boolean, int_term long, str_term string, grp int", *(["term_doc_freq long"] if doc_freq else []), *(f"{s} long" for s in stats)]))
     base = df if doc_freq else df.where(F.col(GROUP) != 0)
-    base = base.select("*", F.col(GROUP).alias("grp"), *(m.alias(s) for m, s in zip(metrics, stats)))
-    rows = occurrences(base, fields, subsets, ["grp", *stats])
+    rows = occurrences(base, fields, subsets, {"grp": F.col(GROUP), **dict(zip(stats, metrics))})
     keys = ["field", "is_int", "int_term", "str_term"]
     sums = [F.sum(s).alias(s) for s in stats]
     if not doc_freq:
