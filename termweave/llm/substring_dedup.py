@@ -10,7 +10,7 @@ in the same one, is removed; windows are judged on the input, not on what is lef
   as sequences of words, and its documents are streamed through it, which locates every occurrence. So automata are
   sharded by blocks of BLOCK_WORDS words, and no document meets phrases that it doesn't hold.
 * Windows around an occurrence are compared by 128 bits of hash: of each group only the place of the first comes back
-  to its document. All other candidates that recur are repeats; the words they cover go.
+  to its document. All other windows around a chosen recurring phrase are repeats; the words they cover go.
 
 Order: doc_id ascending, null first; rows with one doc_id in the order of a hash of their text; rows that repeat both are
 one document and give the same result. A null text has no words. Documents shorter than a window lose nothing.
@@ -18,7 +18,6 @@ one document and give the same result. A null text has no words. Documents short
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,168 +27,147 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words
 from .bpe import slices
 from .common import scratch
 from .line_dedup import numbered
-from .near_dedup import mixed
 
 WINDOW, PHRASE = 20, 10
 BLOCK_WORDS = 1 << 17
-KNOWN_WORDS = 1 << 18
-
-words_of = re.compile(r"[^ \t-\r]+").findall
-
-
-class Words:
-    """Two independent 64-bit hashes of each word, remembered."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-        self.hashes = np.zeros((KNOWN_WORDS, 2), np.uint64)
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        """Numbers that index `hashes`, valid until the next call of `trim`."""
-        import xxhash
-
-        got = list(map(self.known.get, words))
-        if None in got:
-            for i, k in enumerate(got):
-                if k is None:
-                    w = words[i]
-                    k = self.known.get(w)
-                    if k is None:
-                        k = self.known[w] = len(self.known)
-                        if k == len(self.hashes):
-                            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-                        h = xxhash.xxh3_128_intdigest(w.encode("utf-8", "surrogatepass"))
-                        self.hashes[k] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
-                    got[i] = k
-        return np.array(got, np.int64)
-
-    def trim(self) -> None:
-        if len(self.known) > KNOWN_WORDS // 2:
-            self.known.clear()
-            self.hashes = self.hashes[:KNOWN_WORDS]
-
-
-def runs(h: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each run of ``n`` of the hashes."""
-    size = max(0, len(h) - n + 1)
-    out = np.zeros(size, np.uint64)
-    for k in range(n if size else 0):
-        out = mixed(out + h[k : k + size] + np.uint64(k + 1))
-    return out
+SLICE = 64
+
+
+class Texts:
+    """Texts of a batch laid end to end: their words' places, hashes and text numbers."""
+
+    def __init__(self, column: pa.Array, k: int = 1):
+        self.data, self.begin = words.column_bytes(column)
+        self.starts, self.ends = words.find(self.data, self.begin[:-1])
+        self.h = words.hashes(self.data, self.starts, self.ends, k)
+        self.first = np.searchsorted(self.starts, self.begin)  # each text's first word, and the number of all words
+        self.sizes = np.diff(self.first)
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
+    def whole(self, n: int) -> np.ndarray:
+        """Whether the run of ``n`` words from each word on stays in one text."""
+        size = max(0, len(self.text) - n + 1)
+        return self.text[:size] == self.text[n - 1 : n - 1 + size]
 
-def chosen(phrases: np.ndarray, window: int, phrase: int) -> np.ndarray:
-    """Where the phrase with the smallest hash of each window starts (the first of equal ones), ascending, once each."""
-    span = window - phrase + 1
-    n = len(phrases) - span + 1
+
+def chosen(t: Texts, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """The phrases with the smallest hash of each window (the first of equal ones), once each: their places and hashes."""
+    p, span = words.runs(t.h[0], phrase), window - phrase + 1
+    n = len(p) - span + 1
     if n < 1:
-        return np.zeros(0, np.int64)
-    best = np.arange(n) + np.lib.stride_tricks.sliding_window_view(phrases, span).argmin(1)
-    return best[np.diff(best, prepend=-1) != 0]  # it never moves back
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    best = np.arange(n) + np.lib.stride_tricks.sliding_window_view(p, span).argmin(1)
+    best = best[t.whole(window)]
+    best = best[np.diff(best, prepend=-1) != 0]  # it never moves back
+    return best, p[best]
 
 
 def fingerprints(docs: DataFrame, m: int, window: int, phrase: int) -> DataFrame:
     """(phrase, place): every chosen phrase; a place is doc * m + the number of its first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for b in slices(batches, 64):
-            out = []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                known.trim()
-                ids = known.ids(words_of(t or ""))
-                if len(ids) >= window:
-                    p = runs(known.hashes[ids, 0], phrase)
-                    at = chosen(p, window, phrase)
-                    out.append((p[at].view(np.int64), doc * m + at))
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["phrase", "place"])
+        for b in slices(batches, SLICE):
+            t = Texts(b.column(1))
+            at, p = chosen(t, window, phrase)
+            text = t.text[at]
+            yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(b.column(0).to_numpy()[text] * m + at - t.first[text])], names=["phrase", "place"])
 
     return docs.select("_doc", "_text").mapInArrow(run, "phrase long, place long")
 
 
-class Block:
-    """Documents with their recurring phrases, and the automaton of these."""
-
-    def __init__(self, known: Words):
-        self.known, self.docs, self.size = known, [], 0
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-
-    def add(self, row, words: list[str], at: np.ndarray, phrase: int) -> None:
-        ids, own = self.known.ids(words), set()
-        for i in at.tolist():
-            one = tuple(ids[i : i + phrase].tolist())
-            number = self.automaton.get(one, -1)
-            if number < 0:
-                number = len(self.automaton)
-                self.automaton.add_word(one, number)
-            own.add(number)
-        self.docs.append((row, words, ids, own))
-        self.size += len(words)
-
-    def candidates(self, window: int, phrase: int) -> Iterator[tuple]:
-        """(row, words, starts of windows that hold a recurring phrase of their document, their two hashes)"""
-        self.automaton.make_automaton()
-        for row, words, ids, own in self.docs:
-            n = len(words) - window + 1
-            if n < 1 or not own:
-                yield row, words, np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
-                continue
-            places = np.array([e - phrase + 1 for e, number in self.automaton.iter(tuple(ids.tolist())) if number in own], np.int64)
-            edge = np.zeros(n + 1, np.int64)
-            np.add.at(edge, np.clip(places - (window - phrase), 0, n), 1)
-            np.add.at(edge, np.clip(places + 1, 0, n), -1)
-            starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-            # only stretches around candidates are hashed
-            h, out = self.known.hashes[ids], np.zeros((len(starts), 2), np.uint64)
-            cuts = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
-            for i, j in zip(cuts, [*cuts[1:], len(starts)]):
-                piece = h[starts[i] : starts[j - 1] + window]
-                out[i:j, 0], out[i:j, 1] = runs(piece[:, 0], window), runs(piece[:, 1], window)
-            yield row, words, starts, out
-
-
-def blocks(batches: Iterator[pa.RecordBatch], text: int, at: int, phrase: int) -> Iterator[Block]:
-    """Rows in blocks of about BLOCK_WORDS words, each with its automaton. ``at``: the column of recurring phrases' places."""
-    known = Words()
-    block = Block(known)
-    for b in slices(batches, 64):
-        places = b.column(at).to_pylist()
-        for i, t in enumerate(b.column(text).to_pylist()):
-            block.add((b, i), words_of(t or ""), np.array(places[i] or [], np.int64), phrase)
-            if block.size > BLOCK_WORDS:
-                yield block
-                known.trim()
-                block = Block(known)
-    yield block
+def located(t: Texts, at: list[np.ndarray], phrase: int) -> list[np.ndarray]:
+    """For each text of a block the places where a recurring phrase of its own occurs, by an automaton of the block's phrases."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    number = np.unique(t.h[0], return_inverse=True)[1].astype(np.int64)
+    own: list[set[int]] = []
+    for i, places in enumerate(at):
+        mine = set()
+        for p in places.tolist():
+            one = tuple(number[t.first[i] + p : t.first[i] + p + phrase].tolist())
+            k = automaton.get(one, -1)
+            if k < 0:
+                k = len(automaton)
+                automaton.add_word(one, k)
+            mine.add(k)
+        own.append(mine)
+    automaton.make_automaton()
+    out = []
+    for i, mine in enumerate(own):
+        line = tuple(number[t.first[i] : t.first[i + 1]].tolist())
+        out.append(np.array([e - phrase + 1 for e, k in automaton.iter(line) if k in mine], np.int64) if mine else np.zeros(0, np.int64))
+    return out
+
+
+def around(places: np.ndarray, n: int, window: int, phrase: int) -> np.ndarray:
+    """Whether each of the ``n`` windows holds a phrase at one of the places."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, np.clip(places - (window - phrase), 0, n), 1)
+    np.add.at(edge, np.clip(places + 1, 0, n), -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Rows in blocks of about BLOCK_WORDS words, or of one text."""
+    for b in batches:
+        offsets = words.column_bytes(b.column(text))[1]
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 6 * BLOCK_WORDS, "right")) - 1)
+            yield b.slice(at, end - at)
+            at = end
+
+
+def lists(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column; a null is empty."""
+    return [np.array(x if x is not None else [], np.int64) for x in column.to_pylist()]
 
 
 def first_windows(docs: DataFrame, recurring: DataFrame, m: int, window: int, phrase: int) -> DataFrame:
     """(doc, first): starts of the candidate windows that no earlier one equals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, 1, 2, phrase):
-            w, p = [], []
-            for (b, i), _, starts, h in block.candidates(window, phrase):
-                w.append(h)
-                p.append(b.column(0)[i].as_py() * m + starts)
-            if w:
-                h, at = np.concatenate(w).view(np.int64), np.concatenate(p)
-                # within a block only the first of equal windows has to be told
-                order = np.lexsort((at, h[:, 1], h[:, 0]))
-                h, at = h[order], at[order]
-                new = np.ones(len(at), bool)
-                new[1:] = (h[1:] != h[:-1]).any(1)
-                yield pa.RecordBatch.from_arrays([pa.array(h[new, 0]), pa.array(h[new, 1]), pa.array(at[new])], names=["w1", "w2", "at"])
+        for b in blocks(batches, 1):
+            t = Texts(b.column(1), 2)
+            some = np.zeros(max(0, len(t.text) - window + 1), bool)
+            for i, places in enumerate(located(t, lists(b.column(2)), phrase)):
+                n = t.sizes[i] - window + 1
+                if n > 0:
+                    some[t.first[i] : t.first[i] + n] = around(places, n, window, phrase)
+            at = np.flatnonzero(some)
+            h = np.stack([words.runs(t.h[q], window, q)[at] for q in (0, 1)]).view(np.int64)
+            text = t.text[at]
+            place = b.column(0).to_numpy()[text] * m + at - t.first[text]
+            # within a block only the first of equal windows has to be told
+            order = np.lexsort((place, h[1], h[0]))
+            h, place = h[:, order], place[order]
+            new = np.ones(len(place), bool)
+            new[1:] = (h[:, 1:] != h[:, :-1]).any(0)
+            yield pa.RecordBatch.from_arrays([pa.array(h[0, new]), pa.array(h[1, new]), pa.array(place[new])], names=["w1", "w2", "at"])
 
     held = docs.select(F.col("_doc").alias("doc"), F.col("_text").alias("text")).join(recurring, "doc")
     found = held.select("doc", "text", "at").mapInArrow(run, "w1 long, w2 long, at long").groupBy("w1", "w2").agg(F.min("at").alias("at"))
     return found.groupBy(F.expr(f"at div {m}").alias("doc")).agg(F.collect_list((F.col("at") % m).cast("int")).alias("first"))
 
 
+def without(t: Texts, gone: np.ndarray) -> pa.Array:
+    """The texts' words that aren't gone, joined by one space."""
+    data, keep = t.data.copy(), np.zeros(len(t.data) + 1, np.int32)
+    a, b = t.starts[~gone], t.ends[~gone]
+    text = t.text[~gone]
+    more = np.append(text[1:] == text[:-1], False)[: len(text)]  # a word follows, so white space does
+    np.add.at(keep, a, 1)
+    np.add.at(keep, b + more, -1)
+    data[b[more]] = 32
+    held = np.cumsum(keep[:-1]) > 0
+    lengths = np.concatenate([[0], np.cumsum(held)])[t.begin]
+    body = data[held].tobytes()
+    return pa.Array.from_buffers(pa.large_string(), len(t.sizes), [None, pa.py_buffer(lengths.astype(np.int64).tobytes()), pa.py_buffer(body)]).cast(pa.string())
+
+
 def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, out: str = "kept_text", columns: list[str] | None = None) -> DataFrame:
     """The ``columns`` of ``df`` (all), n_words, n_removed and the kept words joined by a space, which replace such columns."""
     phrase = max(1, min(PHRASE, window // 2))
@@ -206,19 +184,20 @@ def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     schema = T.StructType([rows.schema["row"], T.StructField("n", T.LongType()), T.StructField("gone", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, 1, 2, phrase):
-            held: list[tuple] = []
-            for (b, i), words, starts, _ in block.candidates(window, phrase):
-                covered = np.zeros(len(words) + 1, np.int64)
-                if len(starts):
-                    again = np.setdiff1d(starts, np.array(b.column(3)[i].as_py() or [], np.int64))
-                    np.add.at(covered, again, 1)
-                    np.add.at(covered, again + window, -1)
-                gone = np.cumsum(covered[:-1]) > 0
-                kept = " ".join(words) if not gone.any() else " ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                held.append((b.slice(i, 1).column(0), len(words), int(gone.sum()), kept))
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([x[0] for x in held]), pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.int64()), pa.array([x[3] for x in held], pa.string())], names=["row", "n", "gone", "kept"])
+        for b in slices(batches, SLICE):
+            t = Texts(b.column(1))
+            change = np.zeros(len(t.text) + 1, np.int64)
+            for i, (places, first) in enumerate(zip(lists(b.column(2)), lists(b.column(3)))):
+                n = t.sizes[i] - window + 1
+                if n > 0 and len(places):
+                    again = around(places, n, window, phrase)
+                    again[first] = False
+                    s = t.first[i] + np.flatnonzero(again)
+                    np.add.at(change, s, 1)
+                    np.add.at(change, s + window, -1)
+            gone = np.cumsum(change[:-1]) > 0
+            removed = np.bincount(t.text[gone], minlength=len(t.sizes))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t.sizes), pa.array(removed.astype(np.int64)), without(t, gone)], names=["row", "n", "gone", "kept"])
 
     got = rows.mapInArrow(run, schema)
     return got.select(*(F.col("row")[c].alias(c) for c in rest), F.col("n").alias(names[0]), F.col("gone").alias(names[1]), F.col("kept").alias(out))
