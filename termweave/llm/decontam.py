@@ -20,6 +20,7 @@ item_id is carried along.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import scratch
-from .near_dedup import WORDS, mixed, shingles, words_of
+from .near_dedup import WORDS, shingles
 
 HASHES = 64
 ITEMS = 50_000
@@ -39,9 +40,11 @@ BITMAP = 1 << 20
 CHUNK = 1 << 15
 
 
+words_of = re.compile(r"[^ \t-\r]+").findall
+
+
 def item_shingles(text: str | None) -> np.ndarray:
-    words = words_of((text or "").lower())
-    return np.unique(shingles(text)) if len(words) >= WORDS else np.zeros(0, np.uint64)
+    return np.unique(shingles(text)) if len(words_of(text or "")) >= WORDS else np.zeros(0, np.uint64)
 
 
 class Index:

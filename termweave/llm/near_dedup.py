@@ -11,9 +11,11 @@ texts share with a probability of their similarity. A shingle's random gamma and
 its hash indexes, so a sample's logarithm is one lookup for each of the few usual weights. Texts whose samples agree in
 all of a band's ROWS are candidates (at similarity 0.8 a pair is missed with a probability below 3e-5).
 
-A bucket, however large, isn't expanded into pairs: its texts are verified against the smallest of them, then those that
-are in another class than that one against the smallest of the rest, and only texts of a bucket that are in different
-classes even then are compared with each other.
+A bucket, however large, isn't expanded into pairs: its texts are compared with the one of them that meets most others, the
+rest of a bucket of which some are in another class again with one of them. Only texts of a bucket that are in different
+classes even then are compared with each other, and only if a link is possible: their similarities to those leaders are
+close enough (1 - weighted Jaccard similarity is a metric), and enough of their weight is in shingles that another of these
+texts has. Both bounds are exact.
 
 Cases: null texts and those without a word are alone in their class. Rows without a doc_id are compared like all others;
 a class is named by the smallest doc_id in it, null if it has none. Rows with one doc_id are told apart by their text.
@@ -21,60 +23,33 @@ a class is named by the smallest doc_id in it, null if it has none. Rows with on
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words
 from .bpe import slices
 from .common import components, scratch, text_key
+from .words import mixed
 
 WORDS = 5
 BANDS, ROWS = 20, 4
 SLOTS = 1 << 16
 LEVELS = 17
 BLOCK = 2048
-KNOWN_WORDS = 1 << 18
-
-_words: dict[str, int] = {}
-_tables: dict[int, np.ndarray] = {}
-words_of = re.compile(r"[^ \t-\r]+").findall
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    if len(_words) > KNOWN_WORDS:
-        _words.clear()
-    known = list(map(_words.get, words))
-    if None in known:
-        for i, h in enumerate(known):
-            if h is None:
-                w = words[i]
-                known[i] = _words[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    return np.array(known, np.uint64)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
+LEADERS = 2
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     """The hash of each run of ``n`` lower-cased words, in order; of all words if there are fewer; none without a word."""
-    words = words_of((text or "").lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(words)
-    size = min(n, len(h))
-    out = np.zeros(len(h) - size + 1, np.uint64)
-    for k in range(size):
-        out = mixed(out + h[k : len(h) - size + 1 + k] + np.uint64(k + 1))
-    return out
+    data = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    starts, ends = words.find(data)
+    h = words.hashes(data, starts, ends)[0]
+    return words.runs(h, min(n, len(h))) if len(h) else h
 
 
 def idf_levels(counts: np.ndarray) -> np.ndarray:
@@ -89,10 +64,16 @@ def weighted(text: str | None, levels: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, tf * (16 + levels[h & np.uint64(SLOTS - 1)].astype(np.int64))
 
 
-def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], t: Fraction) -> bool:
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    """Sums of the smaller and of the larger weights."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     low = int(np.minimum(a[1][i], b[1][j]).sum())
-    return low > 0 and low * t.denominator >= t.numerator * (int(a[1].sum()) + int(b[1].sum()) - low)
+    return low, int(a[1].sum()) + int(b[1].sum()) - low
+
+
+def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], t: Fraction) -> bool:
+    low, high = overlap(a, b)
+    return low > 0 and low * t.denominator >= t.numerator * high
 
 
 class Sampler:
@@ -151,22 +132,40 @@ def slot_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, levels: np.ndarray, t: Fraction) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose texts are similar enough."""
+def compared(pairs: DataFrame, texts: DataFrame, levels: np.ndarray, t: Fraction) -> DataFrame:
+    """``pairs`` (a, b) with their similarity and whether they are linked."""
     held = pairs.sparkSession.sparkContext.broadcast(levels)  # SLOTS bytes
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for b in slices(batches):
-            keep = []
+            sim, linked = [], []
             for a, u, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if last != a:
                     last, own = a, weighted(u, held.value)
-                keep.append(similar(own, weighted(v, held.value), t))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+                low, high = overlap(own, weighted(v, held.value))
+                sim.append(low / max(1, high))
+                linked.append(low > 0 and low * t.denominator >= t.numerator * high)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "sim", "linked"])
 
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("v")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("u")), "a")
-    return both.select("a", "b", "u", "v").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "u", "v").mapInArrow(check, "a long, b long, sim double, linked boolean")
+
+
+def weights(texts: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(node, total, own): a text's weight, and that of the shingles which no other of the texts has."""
+    held = texts.sparkSession.sparkContext.broadcast(levels)  # SLOTS bytes
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h, w = weighted(t, held.value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(h.view(np.int64)), pa.array(w)], names=["node", "h", "w"])
+
+    rows = scratch(texts.select("node", "text").mapInArrow(each, "node long, h long, w long"), "near-weights")
+    alone = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).where("n = 1")
+    own = alone.groupBy("node").agg(F.sum("w").alias("own"))
+    return rows.groupBy("node").agg(F.sum("w").alias("total")).join(own, "node", "left").select("node", "total", F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -186,29 +185,41 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["node", "bucket"])
 
     dealt = scratch(texts.select("node", "text").mapInArrow(sample, "node long, bucket long"), "near-buckets")
-    shared = dealt.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("bucket", "lead")
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = scratch(dealt.join(shared, "bucket"), "near-members")
-    bodies = scratch(texts.select("node", "text").join(members.select("node").distinct(), "node"), "near-bodies")
-
-    tried = scratch(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    links = scratch(verified(tried, bodies, levels, t), "near-links")
-    for turn in range(2):
-        roots = components(links, "a", "b", "near")
-        placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        mixed_ = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("node", "root").alias("x"), F.max_by("node", "root").alias("y")).where("lo < hi")
-        placed = scratch(placed.join(mixed_, "bucket"), "near-mixed")
-        if turn == 0:  # the smallest of either class with all that isn't in it
-            pairs = placed.where("root <> lo").select("x", "node").union(placed.where("root <> hi").select("y", "node"))
-            pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        else:
-            other = placed.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"))
-            pairs = placed.join(other, "bucket").where("root <> other and node < b").select(F.col("node").alias("a"), "b")
-        pairs = scratch(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            break
-        tried, links = tried.union(pairs), links.union(scratch(verified(pairs, bodies, levels, t), "near-links"))
-    else:
-        roots = components(links, "a", "b", "near")
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    placed = members.join(met, "node").select("bucket", "node", "met", F.col("node").alias("root"))
+    bodies = scratch(texts.select("node", "text").join(met.select("node"), "node"), "near-bodies")
+    tried, room = None, float(1 - t) + 1e-9
+    possible = F.lit(True)
+    for turn in range(LEADERS):
+        # the text that meets most others leads: what is central lies close to all
+        leads = placed.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("lead"))
+        placed = scratch(placed.join(leads.select("bucket", (-F.col("lead.minus")).alias("lead")), "bucket").where("node <> lead"), "near-led")
+        ends = F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")
+        pairs = placed.select(*ends).distinct()
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        found = scratch(compared(scratch(pairs, "near-pairs"), bodies, levels, t), "near-tried")
+        tried = found if tried is None else tried.union(found)
+        roots = components(tried.where("linked"), "a", "b", "near")
+        placed = placed.drop("root").select("*", *ends).join(tried.select("a", "b", F.col("sim").alias(f"sim{turn}")), ["a", "b"]).drop("a", "b", "lead")
+        placed = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        possible &= F.abs(F.col(f"sim{turn}") - F.col(f"sim{turn}_")) <= room
+        # a shingle that no other of these texts has is in no other; a text with too many can't have a link, and goes
+        split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+        placed = scratch(placed.join(split, "bucket").drop("total", "own"), "near-split")
+        placed = placed.join(weights(placed.select("node").distinct().join(bodies, "node"), levels), "node")
+        placed = scratch(placed.where((F.col("total") - F.col("own")) * t.denominator >= F.col("total") * t.numerator), "near-split")
+    placed = placed.join(placed.groupBy("node").agg(F.collect_list("bucket").alias("all")), "node")  # BANDS at most
+    other = placed.select("bucket", *(F.col(c).alias(f"{c}_") for c in placed.columns if c != "bucket"))
+    most = F.least(F.col("total") - F.col("own"), F.col("total_") - F.col("own_"))
+    possible &= most * (t.numerator + t.denominator) >= (F.col("total") + F.col("total_")) * t.numerator
+    pairs = placed.join(other, "bucket").where((F.col("root") != F.col("root_")) & (F.col("node") < F.col("node_")) & possible & (F.col("bucket") == F.array_min(F.array_intersect("all", "all_"))))
+    pairs = pairs.select(F.col("node").alias("a"), F.col("node_").alias("b")).join(tried, ["a", "b"], "left_anti")
+    pairs = scratch(pairs, "near-pairs")
+    if not pairs.isEmpty():
+        more = scratch(compared(pairs, bodies, levels, t), "near-tried")
+        roots = components(tried.union(more).where("linked"), "a", "b", "near")
     named = texts.select("k", "node", "id").join(roots, "node", "left").select("k", "id", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("id").alias("class_id"))
     return scratch(named.join(names, "root").select("k", "root", "class_id"), "near-classes")
