@@ -118,6 +118,20 @@ class Catalog:
                 rows.append((d, s.shard_id, s.version, t and t[0].astimezone(timezone.utc).isoformat(), t and t[1].astimezone(timezone.utc).isoformat(), columns))
         return self.spark.createDataFrame(rows, "dataset string, shard string, version long, start string, end string, columns array<string>")
 
+    def status(self) -> DataFrame:
+        """(dataset, shards, files, bytes): what the newest versions of a dataset's shards take."""
+        rows = []
+        for d in self.datasets():
+            shards = self.shards(d)
+            sizes = [self._size(self.path(d, s)) for s in shards]
+            rows.append((d, len(shards), sum(n for n, _ in sizes), sum(b for _, b in sizes)))
+        return self.spark.createDataFrame(rows, "dataset string, shards int, files long, bytes long")
+
+    def _size(self, path: str) -> tuple[int, int]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        got = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p)
+        return got.getFileCount(), got.getLength()
+
     def fields(self, dataset: str) -> list[str]:
         """All columns of the dataset's shards, whose schemas may differ."""
         return sorted({c for s in self.shards(dataset) for c in self.spark.read.parquet(self.path(dataset, s)).columns})

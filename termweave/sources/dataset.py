@@ -22,6 +22,20 @@ def read_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return df.withColumn("_shard", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
+def open_index(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """An index of any format that Spark reads, told by its files' names unless ``kind`` says it."""
+    if kind is None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        kinds = {k for f in files for k in ("parquet", "orc", "json", "csv") if not f.startswith(("_", ".")) and f".{k}" in f}
+        if len(kinds) != 1:
+            raise ValueError(f"can't tell the format of {path}: {sorted(kinds) or 'no known files'}")
+        kind = kinds.pop()
+    reader = spark.read.format(kind)
+    return (reader.option("header", "true").option("inferSchema", "true") if kind == "csv" else reader).load(path)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """With ``_doc``, a number for each document that stays the same while the files do."""
     return df.withColumn("_doc", F.monotonically_increasing_id())

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import frontend
 from .operators.session import Session
+from .plans.metrics import scaled
 from .plans.query import And, Not, Or, Range, Term, parse
 from .plans.rules import Condition, MultiRule, QueryRule, Rule
 from .sources import catalog, dataset
@@ -337,6 +338,12 @@ def q10_fixed_point(spark, d):
     return lines(spark, d).push(*v, "exp 10", *v, "log1pexp 10", *v, "logistic 10 100").group_stats()
 
 
+@query(f"SELECT 1::INT AS grp, sum(q * 16)::BIGINT AS s0 FROM {L}")
+def m_scaled(spark, d):
+    s = lines(spark, d).push("l_quantity")
+    return Session.open(s.df.select(scaled(s.stack[0], 16).alias("q"))).push("q").group_stats()
+
+
 # dynamic metrics --------------------------------------------------------------------------------------------------------
 
 

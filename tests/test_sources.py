@@ -92,6 +92,17 @@ def test_document_writer(spark, tmp_path):
     assert not (tmp_path / "written.segments").exists()
 
 
+def test_formats_and_status(spark, days, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n long, t string")
+    for kind in ("parquet", "orc", "json", "csv"):
+        (df.write.option("header", "true") if kind == "csv" else df.write).format(kind).save(f"{tmp_path}/{kind}")
+        assert sorted(Session.open(dataset.open_index(spark, f"{tmp_path}/{kind}"), ints=["n"], strings=["t"]).doc_rows(["n"], ["t"]).collect()) == [(1, 1, "a"), (1, 2, "b")]
+    with pytest.raises(ValueError):
+        dataset.open_index(spark, f"{tmp_path}/none")
+    row = days.status().first()
+    assert (row.dataset, row.shards) == ("events", 3) and row.files >= 3 and row.bytes > 0
+
+
 def test_merge_and_fields(spark):
     a, b = dataset.from_documents(spark, [{"x": 1, "y": "p"}]), dataset.from_documents(spark, [{"x": "q", "z": 5}], start=1)
     m = dataset.merge([a, b])
