@@ -189,7 +189,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     members = scratch(dealt.join(shared, "bucket"), "near-members")
     met = members.groupBy("node").agg(F.sum("n").alias("met"))
     placed = members.join(met, "node").select("bucket", "node", "met", F.col("node").alias("root"))
-    bodies = scratch(texts.select("node", "text").join(met.select("node"), "node"), "near-bodies")
+    # by a shuffle at every size: a broadcast would only hold while few texts meet
+    bodies = scratch(texts.select("node", "text").hint("merge").join(met.select("node"), "node"), "near-bodies")
     tried, room = None, float(1 - t) + 1e-9
     possible = F.lit(True)
     for turn in range(LEADERS):
