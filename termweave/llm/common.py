@@ -60,7 +60,15 @@ def scratch(df: DataFrame, name: str, **options) -> DataFrame:
         df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that `scratch` gave, once nothing that is still to run reads it."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fold(doc_id: Column) -> Column:
