@@ -55,7 +55,7 @@ def near_lines(seed, n):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 4])
 def test_lines_of_near_copies(spark, seed):
     """Many lines around the threshold, so that pairing with the earliest alone isn't enough."""
     rows = near_lines(seed, 120)
@@ -65,6 +65,14 @@ def test_lines_of_near_copies(spark, seed):
     assert got == want
 
 
+def test_lines_of_few_words(spark):
+    """Short lines of a small vocabulary: every key leads somewhere else."""
+    g = np.random.default_rng(6)
+    rows = [(i, "\n".join(" ".join(f"v{k}" for k in g.choice(12, g.integers(1, 11), replace=False)) for _ in range(6))) for i in range(60)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, FIELDS)).collect()}
+    assert got == brute.lines(rows)
+
+
 def test_lines_hot_tokens_are_salted(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT", 0)
     rows = near_lines(3, 80)
