@@ -5,10 +5,11 @@ is certain: what stands left and right of it is encoded independently and concat
 texts, so of the certain cuts only those are used at which it can't tell the difference: between a byte outside and a
 byte inside S, the set of space and newline. A run of white space that the cut divides gives the same pieces either way,
 because its last character is split off on the right of the cut and no merge crosses the cut. Where the vocabulary does
-hold a pair (here: the last byte of a no-break space before a space), `fragment_pattern` leaves the text in one piece. A
-fragment is a run of S followed by other characters, in practice a word with what separates it, and few distinct
-fragments make up a large corpus. Each worker keeps a bounded
-table of fragments it has encoded. There is no shuffle: one pass over the text, constant memory for texts of any length.
+hold a pair (here: the last byte of a no-break space before a space), `fragment_pattern` leaves the text in one piece.
+
+A text is cut at the first certain cut after each CHUNK characters, so memory is constant for texts of any length. Where
+the vocabulary's ids are merge ranks, fragments are encoded by rank; else they are cut at every certain cut, and each
+worker keeps a bounded table of those it has encoded. There is no shuffle: one pass over the text.
 
 Null text: as the empty text (no ids). The special token's literal in a text becomes its id, as the library does.
 """
@@ -31,11 +32,9 @@ from .common import TOKENIZER
 
 #: How byte-level BPE splits texts before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: What the split surely leaves whole: Latin letters, perhaps after one space.
-one_piece = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 CACHE_ENTRIES = 1 << 17
 CACHED_LENGTH = 48
-CHUNK = 1 << 19
+CHUNK = 1 << 15
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -134,14 +133,13 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         ranks = ranked_encoder(spec, self.bytes_of, set(added.values()))
         self.ranked = ranks and ranks.encode_ordinary
-        self.merged = getattr(ranks, "_encode_single_piece", None) or self.ranked  # without the split
 
     def _ids(self, fragment: str) -> bytes:
-        if self.ranked:
-            return array("I", self.ranked(fragment) if not one_piece(fragment) else self.merged(fragment)).tobytes()
         return array("I", self.tok.encode(fragment, add_special_tokens=False).ids).tobytes()
 
     def _plain(self, text: str) -> bytes:
+        if self.ranked:
+            return array("I", self.ranked(text)).tobytes()
         fragments = self.frag(text)
         parts = list(map(self.known.get, fragments))
         if None in parts:
