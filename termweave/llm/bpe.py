@@ -7,9 +7,10 @@ byte inside S, the set of space and newline. A run of white space that the cut d
 because its last character is split off on the right of the cut and no merge crosses the cut. Where the vocabulary does
 hold a pair (here: the last byte of a no-break space before a space), `fragment_pattern` leaves the text in one piece.
 
-A text is cut at the first certain cut after each CHUNK characters, so memory is constant for texts of any length. Where
-the vocabulary's ids are merge ranks, fragments are encoded by rank; else they are cut at every certain cut, and each
-worker keeps a bounded table of those it has encoded. There is no shuffle: one pass over the text.
+A text is cut at every certain cut, and each worker keeps a bounded table of the fragments it has encoded. Fragments that
+aren't in it are encoded by rank where the vocabulary's ids are merge ranks, which gives the same ids several times
+faster, else by the tokenizers library. Texts are read in pieces of about CHUNK characters, which also end at a certain
+cut, so memory is constant for texts of any length. There is no shuffle: one pass over the text.
 
 Null text: as the empty text (no ids). The special token's literal in a text becomes its id, as the library does.
 """
@@ -32,7 +33,7 @@ from .common import TOKENIZER
 
 #: How byte-level BPE splits texts before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ENTRIES = 1 << 17
+CACHE_ENTRIES = 1 << 18
 CACHED_LENGTH = 48
 CHUNK = 1 << 15
 
@@ -88,11 +89,13 @@ def fragment_pattern(inside: np.ndarray) -> tuple[str, str]:
 def ranked_encoder(spec: dict, bytes_of: list[bytes], added: set[int]):
     """An encoder of fragments by merge ranks, which gives the same ids several times faster, or None if it may not.
 
-    It may if the vocabulary is plain byte-level BPE with the usual split and every merge makes a higher id than the last.
+    It may if the vocabulary is plain byte-level BPE with the usual split, every merge makes a higher id than the last and
+    every token is a byte or made by a merge.
     """
     vocab, model = spec["model"]["vocab"], spec["model"]
     made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
     plain = all(a < b for a, b in zip(made, made[1:])) and not spec.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges")
+    plain = plain and set(made) | added | {i for i, t in enumerate(bytes_of) if len(t) == 1} >= set(vocab.values())
     kinds = spec.get("pre_tokenizer") or {}
     if not plain or kinds.get("type") != "ByteLevel" or kinds.get("add_prefix_space") or not kinds.get("use_regex", True):
         return None
@@ -102,6 +105,24 @@ def ranked_encoder(spec: dict, bytes_of: list[bytes], added: set[int]):
     return tiktoken.Encoding("fragments", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+class Fragments(dict):
+    """The ids of fragments, as far as they were asked for lately: about CACHE_ENTRIES of up to CACHED_LENGTH characters."""
+
+    def __init__(self, encode):
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, fragment: str) -> bytes:
+        p = self.old.get(fragment) or self.encode(fragment)
+        if len(fragment) <= CACHED_LENGTH:
+            self[fragment] = p
+        return p
+
+    def age(self) -> None:
+        if len(self) > CACHE_ENTRIES:  # the last generation stays readable, what is used of it moves on
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -129,30 +150,17 @@ class Encoder:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else re.compile("((?!))")
         self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
         self.marks = [t for t in added]
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = Fragments(self._ids)
         ranks = ranked_encoder(spec, self.bytes_of, set(added.values()))
-        self.ranked = ranks and ranks.encode_ordinary
+        self.ranked = ranks and ranks._core_bpe.encode_ordinary
 
     def _ids(self, fragment: str) -> bytes:
-        return array("I", self.tok.encode(fragment, add_special_tokens=False).ids).tobytes()
+        return array("I", self.ranked(fragment) if self.ranked else self.tok.encode(fragment, add_special_tokens=False).ids).tobytes()
 
     def _plain(self, text: str) -> bytes:
-        if self.ranked:
-            return array("I", self.ranked(text)).tobytes()
-        fragments = self.frag(text)
-        parts = list(map(self.known.get, fragments))
-        if None in parts:
-            known, old = self.known, self.old
-            for i, p in enumerate(parts):
-                if p is None:
-                    f = fragments[i]
-                    p = parts[i] = old.get(f) or known.get(f) or self._ids(f)
-                    if len(f) <= CACHED_LENGTH:
-                        known[f] = p
-            if len(known) > CACHE_ENTRIES:  # the last generation stays readable, what is used of it moves on
-                self.known, self.old = {}, known
-        return b"".join(parts)
+        out = b"".join(map(self.known.__getitem__, self.frag(text)))
+        self.known.age()
+        return out
 
     def chunks(self, text: str) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers, in pieces of about CHUNK characters."""

@@ -41,6 +41,41 @@ def test_encoder_on_odd_texts(plain, monkeypatch, ranked, chunk):
         assert e.decode(e.encode(t)) == plain.decode(ids, skip_special_tokens=False) == t
 
 
+def test_every_text_is_cut_into_fragments(plain, monkeypatch):
+    e = bpe.Encoder(bpe.resolve(TOKENIZER))
+    asked = []
+    e.known.encode = lambda f: asked.append(f) or e._ids(f)
+    text = "Of the cat, the dog\n and the cat."
+    e.encode(text)
+    assert asked == ["Of", " the", " cat,", " dog", "\n and", " cat."]
+    pairs = bpe.inner_pairs([t for i, t in enumerate(e.bytes_of) if i not in {0, 1, 2}])
+    for a, b in zip(e.frag(text), e.frag(text)[1:]):
+        assert not pairs[a.encode()[-1], b.encode()[0]]
+
+
+def test_ranks_must_explain_every_token(plain):
+    import json
+
+    spec = json.loads(plain.to_str())
+    made = bpe.Encoder(bpe.resolve(TOKENIZER))
+    added = {t["id"] for t in spec["added_tokens"]}
+    assert bpe.ranked_encoder(spec, made.bytes_of, added)
+    spec["model"]["vocab"]["qqqqzzzz"] = len(made.bytes_of)
+    assert bpe.ranked_encoder(spec, [*made.bytes_of, b"qqqqzzzz"], added) is None
+
+
+def test_a_text_beyond_one_batch(spark, plain):
+    """A very long text, a null id and repeated rows."""
+    long = "Some wörds of it, again\n" * 60_000
+    rows = [(None, long), (3, "x y"), (3, "x y"), (4, None)]
+    want = {i: (ids_of(plain, t or "")) for i, t in rows}
+    got = bpe.digests(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int")).collect()
+    assert len(got) == 4 and all(r.n_tokens == len(want[r.doc_id]) and r.ids_sha256 == hashlib.sha256(np.array(want[r.doc_id], "<u4").tobytes()).hexdigest() for r in got)
+    path = new_path(spark, "long")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, partitions=2)
+    assert [(r.doc_id, r.n_tokens) for r in token_files.read_digests(spark, path).orderBy("start").collect()] == [(i, len(want[i]) + 1) for i in (None, 3, 3, 4)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("ab Z9é  \n\t'sß中🙂.,- "), max_size=60))
 def test_encoder_on_any_text(text):
