@@ -1,6 +1,6 @@
 """Operator 2: language identification of words, spans and texts.
 
-Words are runs of letters, lower-cased. A word's script (by code-point ranges) narrows the candidates to languages in
+Words are runs of letters (Unicode categories L) with the marks (M) that follow them, lower-cased. A word's script (by code-point ranges) narrows the candidates to languages in
 which that script was seen in training. Candidates are scored with hashed word and character 3-gram frequencies as log
 likelihoods, clipped so that no single word decides alone; Viterbi over the word scores with a penalty for each switch
 of language labels every word, and runs of a label are the spans. A text's language is the one that most of its letters
@@ -15,6 +15,7 @@ Null texts and texts without a letter: `und`, score 0, no spans. Ties go to the
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,17 @@ SCRIPTS = [(0x2B0, "latin"), (0x370, "other"), (0x400, "greek"), (0x530, "cyrill
 _ENDS = np.array([e for e, _ in SCRIPTS])
 NAMES = sorted({s for _, s in SCRIPTS})
 _CODE = np.array([NAMES.index(s) for _, s in SCRIPTS])
-words_of = re.compile(r"[^\W\d_]+").findall
+
+
+def _spans(kinds: str, lo: int, hi: int) -> str:
+    """A character class's body: the code points from lo to hi whose category begins with one of ``kinds``."""
+    held = [c for c in range(lo, hi) if unicodedata.category(chr(c))[0] in kinds]
+    cuts = [i for i in range(len(held)) if not i or held[i] != held[i - 1] + 1] + [len(held)]
+    return "".join(f"{re.escape(chr(held[a]))}-{re.escape(chr(held[b - 1]))}" for a, b in zip(cuts, cuts[1:]))
+
+
+#: The second form, for letters beyond the basic plane, is only tried where such a character stands.
+words_of = re.compile(f"[{_spans('L', 0, 1 << 16)}][{_spans('LM', 0, 1 << 16)}]*|(?=[\U00010000-\U0010ffff])[{_spans('L', 1 << 16, 0x110000)}][{_spans('LM', 0, 0x110000)}]*").findall
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,13 +113,24 @@ class Scorer(dict):
 
 
 def one_label(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> int | None:
-    """The label that the best path keeps throughout, if that is sure: no stretch of words gains the penalty elsewhere."""
+    """The label that the best path keeps throughout, if that is sure.
+
+    Of a path's stretches each other label's gains at most the most that any stretch gains. If the best label has a
+    stretch too, there is a switch for each of the others, so none may gain the penalty. If it has none, there is a switch
+    less than stretches, but the first is a prefix and the last a suffix (alone it is the whole text, which gains
+    nothing): so together these two may not gain the penalty either.
+    """
     best = int(scores.sum(0).argmax())
     gain = np.cumsum(scores - scores[:, best : best + 1], 0, dtype=np.float64)
     low = np.minimum(np.minimum.accumulate(gain, 0), 0)
-    low[1:] = np.minimum(low[:-1], 0)
+    low[1:] = low[:-1].copy()
     low[0] = 0
-    return best if (gain - low).max() < penalty else None
+    others = np.arange(scores.shape[1]) != best
+    if not others.any():
+        return best
+    prefix = gain[:, others].max()
+    suffix = (gain[-1] - np.concatenate([np.zeros((1, gain.shape[1])), gain[:-1]]))[:, others].max()
+    return best if (gain - low).max() < penalty and prefix + suffix < penalty else None
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
