@@ -31,7 +31,7 @@ def lines(rows, t=Fraction(4, 5)):
             s = frozenset(words_of(line))
             if s:
                 n = len(s)
-                near = any(len(s & o) >= t * len(s | o) for m in range(-(-n * 4 // 5), n * 5 // 4 + 1) for o in before[m])
+                near = any(len(s & o) >= t * len(s | o) for m in range(int(n * t), int(n / t) + 2) for o in before[m])
                 before[n].append(s)
                 if near:
                     continue

@@ -1,4 +1,5 @@
 import hashlib
+from fractions import Fraction
 
 import brute
 import numpy as np
@@ -57,7 +58,7 @@ def near_lines(seed, n):
 
 @pytest.mark.parametrize("seed", [1, 2, 4])
 def test_lines_of_near_copies(spark, seed):
-    """Many lines around the threshold, so that pairing with the earliest alone isn't enough."""
+    """Many lines around the threshold, so that pairing with the earliest or the central ones alone isn't enough."""
     rows = near_lines(seed, 120)
     want = brute.lines(rows)
     df = spark.createDataFrame(rows, FIELDS)
@@ -73,6 +74,43 @@ def test_lines_of_few_words(spark):
     assert got == brute.lines(rows)
 
 
+@pytest.mark.parametrize("words", [30, 3000])
+def test_lines_with_runs_of_two_three_and_four(spark, monkeypatch, words):
+    """Words of very different frequencies; few words, so that long runs are needed, and lines that differ from others in a few."""
+    g = np.random.default_rng(words)
+    monkeypatch.setattr(line_dedup, "NEAR_BITS", 1.0)
+    share = 1 / np.arange(1, words + 1)
+    line = lambda n: g.choice(words, n, replace=False, p=share / share.sum()).tolist()
+    rows, known = [], []
+    for i in range(150):
+        lines = []
+        for _ in range(4):
+            w = line(g.integers(1, 28))
+            if known and g.random() < 0.6:
+                w = list(known[g.integers(0, len(known))])
+                for k in g.choice(len(w), min(len(w), g.integers(0, 1 + len(w) // 4)), replace=False):
+                    w[k] = int(g.integers(0, words))
+                w = w[g.integers(0, 2) :] + [int(x) for x in g.integers(0, words, g.integers(0, 3))]
+            known.append(w)
+            lines.append(" ".join(f"v{x}" for x in w))
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, FIELDS)).collect()}
+    assert got == brute.lines(rows)
+
+
+@pytest.mark.parametrize("threshold", ["0.6", "0.7", "0.75", "0.9"])
+def test_lines_at_other_thresholds(spark, threshold):
+    rows = near_lines(9, 60)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, FIELDS), threshold=float(threshold)).collect()}
+    assert got == brute.lines(rows, Fraction(threshold))
+
+
+def test_lines_of_a_very_long_text(spark):
+    rows = [(1, "\n".join(f"a{i} b{i % 977} c{i % 31} d e f" for i in range(20_000))), (2, "x " * 100_000 + "\n" + "a5 b5 c5 d e f")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, FIELDS)).collect()}
+    assert got[1].n_removed == 0 and got[2].text == rows[1][1].split("\n")[0] and got[2].n_removed == 1
+
+
 def test_lines_hot_tokens_are_salted(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT", 0)
     rows = near_lines(3, 80)
