@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import itertools
+import contextlib
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +50,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_writers: Counter = Counter()
+_before: dict[SparkSession, str] = {}
+_writers_lock = threading.Lock()
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """CLEAN_UP holds until the last of the threads that write in this session is done; then what it was before."""
+    with _writers_lock:
+        if not _writers[spark]:
+            _before[spark] = spark.conf.get(CLEAN_UP, "false")
+            spark.conf.set(CLEAN_UP, "true")
+        _writers[spark] += 1
+    try:
+        yield
+    finally:
+        with _writers_lock:
+            _writers[spark] -= 1
+            if not _writers[spark]:
+                spark.conf.set(CLEAN_UP, _before.pop(spark))
+                del _writers[spark]
+
+
 def scratch(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` once to shared storage and read it back: lineage is cut and no lost executor makes it run again.
 
@@ -54,12 +80,8 @@ def scratch(df: DataFrame, name: str, **options) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
+    with _cleaning(spark):
         df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -89,22 +111,26 @@ def components(edges: DataFrame, a: str, b: str, name: str = "cc") -> DataFrame:
     written table. Only a count comes back to the driver.
     """
     live = scratch(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), f"{name}-edges")
-    spark = edges.sparkSession
     labels = scratch(live.select("u").union(live.select("v")).distinct().select(F.col("u").alias("node"), F.col("u").alias("root")), f"{name}-nodes")
-    for turn in itertools.count():
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         both = live.union(live.select("v", "u"))
-        hook = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("to"))
+        hook = scratch(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("to")), f"{name}-hook")
         # jump until every root points at a root
-        hook = scratch(hook, f"{name}-hook")
-        while True:
+        moved = True
+        while moved:
             nxt = hook.alias("x").join(hook.select(F.col("u").alias("to"), F.col("to").alias("to2")), "to").select("u", F.col("to2").alias("to"), (F.col("to2") != F.col("to")).alias("moved"))
-            nxt = scratch(nxt, f"{name}-jump")
-            hook = nxt.select("u", "to")
-            if nxt.where("moved").isEmpty():
-                break
+            nxt, old = scratch(nxt, f"{name}-jump"), hook
+            moved = not nxt.where("moved").isEmpty()
+            hook = nxt.drop("moved")
+            hook.scratch_path = nxt.scratch_path
+            drop(old)
+        old = labels
         labels = scratch(labels.join(hook.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-nodes")
+        drop(old)
+        old = live
         live = live.join(hook.select(F.col("u"), F.col("to").alias("tu")), "u").join(hook.select(F.col("u").alias("v"), F.col("to").alias("tv")), "v")
         live = scratch(live.where("tu <> tv").select(F.col("tu").alias("u"), F.col("tv").alias("v")).distinct(), f"{name}-edges")
+        drop(old)
+        drop(hook)
+    drop(live)
     return labels

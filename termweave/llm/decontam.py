@@ -1,7 +1,7 @@
 """Operator 3: benchmark items inside documents, by MinHash containment search in windows.
 
 An item is in a document if at least the threshold of its distinct shingles of five lower-cased words are among the
-document's. Items of fewer than five words have no shingle and are never found.
+document's. Items of fewer than five words have no shingle and are never found; `unsearched` names them.
 
 A long document shares so little of its shingles with a short item that their MinHashes wouldn't meet. So items are
 partitioned by size, classes of a factor of two, and for each class a document is cut into windows of two blocks, each
@@ -12,7 +12,8 @@ is missed with a probability below 1e-7, one that stands there at the threshold
 exactly on the shingles of the whole document.
 
 Documents are read once for each ITEMS items, which with their shingles and minima go to all workers (a documented
-bound); a larger benchmark is searched in blocks of that many. There is no shuffle.
+bound); a larger benchmark is searched in blocks of that many, one after the other, each of whose results is written before
+the next block is read. There is no shuffle.
 
 Null and empty texts and items find nothing. Repeated rows are found as often as they stand there; a null doc_id or
 item_id is carried along.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import scratch
+from .common import drop, scratch
 from .near_dedup import WORDS, shingles
 
 HASHES = 64
@@ -119,7 +120,7 @@ class Index:
 
 
 def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[list, list]]:
-    """Items in blocks of at most ITEMS rows and about ITEM_WORDS words; only one block is on the driver at a time."""
+    """Items in blocks of at most ITEMS rows and about ITEM_WORDS words."""
     ids, texts, words = [], [], 0
     for r in items.select(F.col(key).alias("i"), F.col(text).alias("t")).toLocalIterator():
         n = len(r.t or "") // 4
@@ -139,11 +140,10 @@ def find_items(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     key_type, item_type = df.schema[key].dataType, items.schema[item_key].dataType
     names = ["_doc", "_item", "n_shingles", "n_found"]
     schema = f"_doc {key_type.simpleString()}, _item {item_type.simpleString()}, n_shingles long, n_found long"
-    parts = []
-    for ids, texts in item_blocks(items, item_key, item_text):
-        held = spark.sparkContext.broadcast(Index(ids, texts, Fraction(str(threshold))))  # ITEMS items at most
+    def part(block: tuple[list, list]) -> tuple[DataFrame, object]:
+        held = spark.sparkContext.broadcast(Index(*block, Fraction(str(threshold))))  # ITEMS items at most
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value
             for b in slices(batches):
                 found = [(row, *x) for row, t in enumerate(b.column(1).to_pylist()) for x in index.search(t)]
@@ -151,9 +151,15 @@ def find_items(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                 own = pa.array([index.ids[f[1]] for f in found], to_arrow(item_type))
                 yield pa.RecordBatch.from_arrays([rows, own, pa.array([len(index.sets[f[1]]) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], names=names)
 
-        parts.append(df.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).mapInArrow(run, schema))
-    if len(parts) > 1:
-        parts = [scratch(p, "found-items") for p in parts]
+        return df.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).mapInArrow(run, schema), held
+
+    parts, last = [], None
+    for block in item_blocks(items, item_key, item_text):
+        if last:
+            parts.append(scratch(last[0], "found-items"))
+            last[1].destroy()
+        last = part(block)
+    parts += [last[0]] if last else []
     out = parts[0] if parts else spark.createDataFrame([], schema)
     for p in parts[1:]:
         out = out.union(p)
@@ -168,17 +174,31 @@ def to_arrow(kind):
 
 def clean(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = 0.8) -> DataFrame:
     """The rows of ``df`` that contain no item. They are judged one by one, so that null or repeated keys do no harm."""
-    keep = df.columns
-    schema = df.schema
-    spark = df.sparkSession
-    out = df
-    for ids, texts in item_blocks(items, item_key, item_text):
-        held = spark.sparkContext.broadcast(Index(ids, texts, Fraction(str(threshold))))  # ITEMS items at most
+    keep, schema, spark = df.columns, df.schema, df.sparkSession
+
+    def without(rows: DataFrame, block: tuple[list, list]) -> tuple[DataFrame, object]:
+        held = spark.sparkContext.broadcast(Index(*block, Fraction(str(threshold))))  # ITEMS items at most
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value
             for b in slices(batches):
                 yield b.filter(pa.array([not index.search(t) for t in b.column(keep.index(text)).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema), held
+
+    out, held, before = df, None, None
+    for block in item_blocks(items, item_key, item_text):
+        if held:  # the block before is done with before this one is made
+            out = scratch(out, "clean")
+            held.destroy()
+            if before:
+                drop(before)
+            before = out
+        out, held = without(out, block)
     return out
+
+
+def unsearched(items: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``items`` that have words, but too few for a shingle; a rule of their own has to guard these."""
+    n = F.size(F.filter(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""))
+    return items.where((n > 0) & (n < WORDS))
