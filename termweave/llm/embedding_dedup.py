@@ -11,8 +11,9 @@ with each other and with all that a member links with; only classes are compared
 * Candidates meet in buckets: TABLES bands of code bits from further rotations, as many bits as leave about BUCKET
   classes of the largest label to a bucket, and as many bands as leave a linked pair unseen with a probability below
   MISS. The two numbers follow from the count of rows, so the work grows in proportion to rows times bands.
-* A large bucket is cut into chunks of CHUNK rows, and each pair of chunks is a unit of work, so no task holds an
-  unbounded group. What comes back is, for each vector, the number of its links, and edges that connect what is linked:
+* Buckets are found by (band, code) alone; the vectors, in the precision they came in, are shuffled once to where they are
+  compared. A large bucket is cut into chunks of CHUNK rows, and each pair of chunks is a unit of work, so no task holds
+  an unbounded group. What comes back is, for each vector, the number of its links, and edges that connect what is linked:
   at most one for each vector and unit. A pair that meets in more than one bucket counts in the first only.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link with
@@ -36,7 +37,11 @@ from .common import components, scratch
 BUCKET, CHUNK = 256, 1024
 MISS = 0.002
 SIGMAS = 5.0
-UNIT_ROWS = 1 << 15
+
+
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # so that no square overflows
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 @functools.lru_cache(64)
@@ -93,10 +98,9 @@ def components_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def unit_links(frame: dict[str, np.ndarray], d: int, threshold: float) -> tuple[np.ndarray, ...]:
-    """Links within one unit: ids and counts, and edges. ``frame``: node, side, copies, x, codes, band."""
+    """Links within one unit: ids and counts, and edges. ``frame``: node, side, copies, x (unit vectors), codes, band."""
     turn = rotation(d, 7)
-    x = frame["x"]
-    unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    unit = frame["x"]
     left, right = np.flatnonzero(frame["side"] != 1), np.flatnonzero(frame["side"] != 0)
     turned = unit[right] @ turn
     signs = np.where(turned > 0, 1, -1).astype(np.float32)
@@ -123,6 +127,8 @@ def unit_links(frame: dict[str, np.ndarray], d: int, threshold: float) -> tuple[
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93) -> DataFrame:
     """Every column of ``df``, n_links, component_id and kept (key = component_id), which replace such columns."""
     names = [c for c in df.columns if c not in ("n_links", "component_id", "kept")]
+    kind = df.schema[vector].dataType
+    given = "float" if kind.simpleString() == "array<float>" else "double"
     v = F.col(vector).cast("array<double>")
     bad = F.exists("_v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = df.select(F.struct(*names).alias("_row"), F.col(key).cast("long").alias("_id"), F.col(label).alias("_label"), v.alias("_v"))
@@ -130,43 +136,38 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     # -0.0 and 0.0 are one value in a group's key
     body = F.sha2(F.to_json(F.struct(F.col("_label").alias("l"), F.transform("_v", lambda c: c + F.lit(0.0)).alias("v"))).cast("binary"), 256)
     rows = rows.withColumn("_k", F.when(fit, F.unhex(body)))
-    groups = rows.where("_k is not null").groupBy("_k").agg(F.first("_label").alias("label"), F.first("_v").alias("v"), F.min("_id").alias("id"), F.count("*").alias("copies"))
+    groups = rows.where("_k is not null").groupBy("_k").agg(F.first("_label").alias("label"), F.first(F.col("_v").cast(f"array<{given}>")).alias("v"), F.min("_id").alias("id"), F.count("*").alias("copies"))
     groups = scratch(groups.select(F.monotonically_increasing_id().alias("node"), F.xxhash64("label", F.size("v")).alias("part"), "*"), "vectors")
     largest = groups.groupBy("label", F.size("v")).count().agg(F.max("count")).first()[0] or 0
     bits, bands = plan(largest, threshold)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = np.diff(np.asarray(b.column(3).offsets))
-            flat = np.asarray(b.column(3).flatten())
+            sizes = np.diff(np.asarray(b.column(2).offsets))
+            flat = np.asarray(b.column(2).flatten(), np.float64)
             begin = np.concatenate([[0], np.cumsum(sizes)])
             for d in np.unique(sizes):
                 rows_ = np.flatnonzero(sizes == d)
-                x = np.stack([flat[begin[i] : begin[i + 1]] for i in rows_])
-                scaled = x / np.abs(x).max(1, keepdims=True)  # so that no square overflows
-                codes = band_codes(scaled / np.linalg.norm(scaled, axis=1, keepdims=True), bits, bands)
-                take = pa.array(rows_)
-                own = [b.column(k).take(take) for k in range(3)]
-                body_, coded = pa.array([r.tobytes() for r in scaled], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary())
-                for k in range(bands):
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(rows_), k, np.int32)), pa.array(codes[:, k]), body_, coded], names=["node", "part", "copies", "band", "code", "x", "codes"])
-
-    coded = groups.select("node", "part", "copies", "v").mapInArrow(code, "node long, part long, copies long, band int, code long, x binary, codes binary")
-    coded = scratch(coded, "vector-codes")
-    big = coded.groupBy("part", "band", "code").agg(F.count("*").alias("n")).where("n > 1").select("part", "band", "code", F.expr(f"cast(ceil(n / {CHUNK}) as int)").alias("chunks"))
+                codes = band_codes(unit_vectors(np.stack([flat[begin[i] : begin[i + 1]] for i in rows_])), bits, bands)
+                coded = pa.ListArray.from_arrays(pa.array(np.arange(len(rows_) + 1, dtype=np.int32) * bands), pa.array(codes.ravel()))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(rows_)) for k in range(2)), coded], names=["node", "part", "codes"])
+
+    coded = scratch(groups.select("node", "part", "v").mapInArrow(code, "node long, part long, codes array<long>"), "vector-codes")
+    dealt = coded.select("node", "part", F.posexplode("codes").alias("band", "code"))
+    big = dealt.groupBy("part", "band", "code").agg(F.count("*").alias("n")).where("n > 1").select("part", "band", "code", F.expr(f"cast(ceil(n / {CHUNK}) as int)").alias("chunks"))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    placed = coded.join(big, ["part", "band", "code"]).withColumn("own", own)
+    placed = dealt.join(big, ["part", "band", "code"]).withColumn("own", own)
     # a row goes to all units of its chunk: (own, other) for others above, as the left side, and (other, own) as the right one
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     unit = F.xxhash64("part", "band", "code", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int")
-    units = placed.select(unit.alias("unit"), side.alias("side"), "part", "node", "copies", "band", "x", "codes").repartition(F.col("unit")).sortWithinPartitions("unit", "part", "band", "side", "node")
+    units = placed.select(unit.alias("unit"), side.alias("side"), "part", "node", "band").join(groups.select("node", "copies", "v").join(coded.select("node", "codes"), "node"), "node")
+    units = units.select("unit", "side", "part", "node", "band", "copies", "v", "codes").repartition(F.col("unit")).sortWithinPartitions("unit", "part", "band", "side", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in whole_units(batches):
-            d = len(f["x"][0]) // 8
-            found = unit_links({**f, "x": np.frombuffer(b"".join(f["x"]), np.float64).reshape(-1, d), "codes": np.frombuffer(b"".join(f["codes"]), np.int64).reshape(len(f["x"]), -1), "band": int(f["band"][0])}, d, threshold)
-            ids, n, lo, hi = found
+            d = f["x"].shape[1]
+            ids, n, lo, hi = unit_links({**f, "x": unit_vectors(f["x"]), "band": int(f["band"][0])}, d, threshold)
             a = np.concatenate([ids, lo])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate([n, np.zeros(len(lo), np.int64)])), pa.array(np.concatenate([np.full(len(ids), -1), hi]))], names=["node", "n", "other"])
 
@@ -187,7 +188,8 @@ def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
     def columns(parts: list[pa.RecordBatch]) -> dict:
         t = pa.Table.from_batches(parts)
-        return {c: t[c].to_pylist() if c in ("x", "codes") else t[c].to_numpy() for c in ("side", "node", "copies", "band", "x", "codes")}
+        flat = lambda c, kind: np.concatenate([np.asarray(p.column(c).flatten(), kind) for p in parts]).reshape(t.num_rows, -1)
+        return {c: t[c].to_numpy() for c in ("side", "node", "copies", "band")} | {"x": flat("v", np.float64), "codes": flat("codes", np.int64)}
 
     last = None
     for b in batches:
