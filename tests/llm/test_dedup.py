@@ -37,6 +37,51 @@ def test_passages_odd_rows(spark):
     assert substring_dedup.dedup_passages(df.limit(0)).collect() == []
 
 
+def test_automata_find_what_was_not_told(spark, medium, monkeypatch):
+    """A block tells one place for each phrase; all other places come from the automata, by shards of a few phrases too."""
+    want = {r.doc_id: r.n_removed for r in queries.op4_substring_dedup(spark, medium).collect()}
+    rows = pd.read_parquet(f"{medium}/documents.parquet").sort_values("doc_id")
+    import pyarrow as pa
+
+    t = substring_dedup.Texts(pa.array(rows.text[:64], pa.string()), 2)
+    at, p = substring_dedup.chosen(t, 20, 10)
+    known = np.sort(at[np.unique(p, return_index=True)[1]])
+    runs, whole = substring_dedup.words.runs(t.h[0], 10), t.whole(10)
+    every = np.flatnonzero(np.isin(runs, p) & whole)
+    monkeypatch.setattr(substring_dedup, "SHARD", 100)
+    found = substring_dedup.located(t, known, 10)
+    assert found.tolist() == every.tolist() and len(found) > len(known)
+    monkeypatch.setattr(substring_dedup, "SHARD", 1 << 15)
+
+    df = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(substring_dedup, "around", lambda places, n, window, phrase: np.zeros(n, bool))
+    none = substring_dedup.hints(*hints_of(df))
+    assert none.count() == 0
+    monkeypatch.undo()
+    assert substring_dedup.hints(*hints_of(df)).count() > 0 and sum(want.values()) > 1000
+
+
+def hints_of(df):
+    docs, m = line_dedup.numbered(df, "doc_id", "text", queries.F.octet_length("text") / 2 + 2)
+    prints = substring_dedup.fingerprints(docs, m, 20, 10)
+    return docs, prints.where("again").select("block", "place"), m, 20, 10
+
+
+def test_passages_over_blocks_and_long_texts(spark, monkeypatch):
+    """Blocks of two documents and of one long text; a passage stands often in one, and in others."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(substring_dedup, "LARGE", 20_000)
+    g = np.random.default_rng(5)
+    passage = [" ".join(f"p{k}w{i}" for i in range(45)) for k in range(4)]
+    noise = lambda n: " ".join(f"n{x}" for x in g.integers(0, 400, n))
+    rows = [(i, " ".join(x for k in g.integers(0, 4, 3) for x in (noise(g.integers(0, 60)), passage[k]))) for i in range(40)]
+    rows[7] = (7, noise(9000) + " " + passage[0] + " " + noise(200) + " " + passage[0])
+    rows[20] = (20, rows[7][1])
+    df = spark.createDataFrame(rows, FIELDS).repartition(5)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup_passages(df).collect()}
+    assert got == brute.passages(rows)
+
+
 def test_lines_of_a_whole_table(spark, small):
     want = brute.lines(texts_of(small))
     got = queries.op8_line_dedup(spark, small).collect()
@@ -56,9 +101,10 @@ def near_lines(seed, n):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 4])
-def test_lines_of_near_copies(spark, seed):
+@pytest.mark.parametrize("seed,small", [(1, 64), (2, 4), (4, 1)])
+def test_lines_of_near_copies(spark, monkeypatch, seed, small):
     """Many lines around the threshold, so that pairing with the earliest or the central ones alone isn't enough."""
+    monkeypatch.setattr(line_dedup, "SMALL", small)
     rows = near_lines(seed, 120)
     want = brute.lines(rows)
     df = spark.createDataFrame(rows, FIELDS)
@@ -198,6 +244,16 @@ def test_items_odd_rows(spark, monkeypatch):
     assert decontam.find_items(df.limit(0), it).collect() == []
 
 
+def test_items_in_blocks_and_unsearched(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "ITEMS", 1)
+    words = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcd"]
+    df = spark.createDataFrame([(i, f"x {w} y") for i, w in enumerate(words)], FIELDS)
+    items = spark.createDataFrame([(1, words[0]), (2, words[2]), (3, "too short an item"), (4, None), (5, " "), (6, words[0])], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_items(df, items).collect()) == [(0, 1), (0, 6), (2, 2)]
+    assert sorted(r.doc_id for r in decontam.clean(df, items).collect()) == [1, 3]
+    assert [r.item_id for r in decontam.unsearched(items).collect()] == [3]
+
+
 def cosine_links(v, labels, t=0.93):
     x = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = (x @ x.T >= t) & (labels[:, None] == labels[None, :])
