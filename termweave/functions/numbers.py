@@ -24,6 +24,11 @@ def clamp_int(x: Column) -> Column:
     return F.least(F.greatest(x.cast("long"), long_(INT_MIN)), long_(INT_MAX)).cast("int")
 
 
+def wrap_int(x: Column) -> Column:
+    """The low 32 bits of a long, as the integer with these bits."""
+    return F.shiftright(F.shiftleft(x, 32), 32)
+
+
 def divide(a: Column, b: Column) -> Column:
     """Whole part of a / b; 0 if b is 0. The one quotient out of range, -2**63 / -1, wraps around."""
     return F.when(b == 0, long_(0)).when((b == -1) & (a == LONG_MIN), long_(LONG_MIN)).otherwise(F.call_function("div", a, b))

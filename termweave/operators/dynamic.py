@@ -20,9 +20,14 @@ def _check(conditions: Sequence[Condition], deltas: Sequence[int]) -> None:
         raise ValueError("only equality conditions update a metric")
 
 
+def _moved(value: Column, delta: Column) -> Column:
+    # the value stands here once, so that a chain of updates stays a chain
+    return clamp_int(value.cast("long") + F.coalesce(delta, F.lit(0).cast("long")))
+
+
 def _fold(value: Column, steps: Sequence[tuple[Column, int]]) -> Column:
     for hit, delta in steps:
-        value = F.when(hit, clamp_int(value.cast("long") + delta)).otherwise(value)
+        value = _moved(value, F.when(hit, F.lit(delta).cast("long")))
     return value
 
 
@@ -31,7 +36,7 @@ def by_group(value: Column, deltas: Sequence[int]) -> Column:
     if not deltas:
         return value
     listed = F.array(*(F.lit(int(d)).cast("long") for d in deltas))
-    return F.when(F.col(GROUP) < len(deltas), clamp_int(value.cast("long") + F.get(listed, F.col(GROUP)))).otherwise(value)
+    return _moved(value, F.get(listed, F.col(GROUP)))
 
 
 def by_conditions(value: Column, fields: Fields, conditions: Sequence[Condition], deltas: Sequence[int]) -> Column:

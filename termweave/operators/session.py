@@ -19,6 +19,16 @@ from . import dynamic, regroup, terms
 from .regroup import GROUP
 
 CHECKPOINT_EVERY = 32
+SCALE, FROZEN = "_scale", "_cached_"
+
+
+def _checkpointed(df: DataFrame, eager: bool) -> DataFrame:
+    context, path = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        if not path:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(path)
+    return df.checkpoint(eager=eager)
 
 
 @dataclass(frozen=True)
@@ -31,22 +41,29 @@ class Session:
     base: Session | None = None  # before documents were dropped
 
     @staticmethod
-    def open(df: DataFrame, ints: Iterable[str] | None = None, strings: Iterable[str] | None = None, fields: P.Fields | None = None) -> Session:
-        """All documents in group 1. Fields are inferred from the columns unless they are given."""
+    def open(df: DataFrame, ints: Iterable[str] | None = None, strings: Iterable[str] | None = None, fields: P.Fields | None = None, scale: int | Column | None = None) -> Session:
+        """All documents in group 1. Fields are inferred from the columns unless they are given.
+
+        ``scale``: how many documents each one stands for, where shards hold a sample; a Column if shards differ in it.
+        """
         fields = P.infer(df, ints, strings) if fields is None else fields
-        return Session(df.withColumn(GROUP, F.lit(1).cast("int")), fields, Stack(fields))
+        if scale is not None:
+            df = df.withColumn(SCALE, (scale if isinstance(scale, Column) else F.lit(scale)).cast("long"))
+        return Session(df.withColumn(GROUP, F.lit(1).cast("int")), fields, Stack(fields, scale=None if scale is None else F.col(SCALE)))
 
     # groups ------------------------------------------------------------------------------------------------------------
 
     def _to(self, group: Column | DataFrame, at_most: int | None) -> Session:
         df = group if isinstance(group, DataFrame) else self.df.withColumn(GROUP, group)
+        df, steps = self._cut(df)
+        return replace(self, df=df, groups_at_most=at_most, steps=steps)
+
+    def _cut(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """``df`` after one more step, its plan cut if there were many."""
         steps = self.steps + 1
         if steps >= CHECKPOINT_EVERY and df.sparkSession.conf.get("spark.checkpoint.dir", None):
-            context = df.sparkSession.sparkContext
-            if not context.getCheckpointDir():
-                context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-            df, steps = df.checkpoint(eager=False), 0
-        return replace(self, df=df, groups_at_most=at_most, steps=steps)
+            return _checkpointed(df, False), 0
+        return df, steps
 
     def _grown(self, *targets: int) -> int | None:
         return None if self.groups_at_most is None else max(self.groups_at_most, 1 + max(targets, default=0))
@@ -56,17 +73,12 @@ class Session:
         if self.base is not None:
             lost = self.base
             back = lost.df
-            for name in self.stack.dynamics:
-                c = dynamic_column(name)
-                if c not in back.columns:
-                    back = back.withColumn(c, F.lit(0).cast("int"))
-            # what survived brings its values back
-            ids, values = "_doc", [dynamic_column(n) for n in self.stack.dynamics]
+            # what survived brings back its values of dynamic and frozen metrics; those that came later are 0 for the rest
+            values = {f.name: f.dataType for f in self.df.schema.fields if f.name.startswith(FROZEN) or f.name in map(dynamic_column, self.stack.dynamics)}
+            back = back.withColumns({c: F.lit(0).cast(kind) for c, kind in values.items() if c not in back.columns})
             if values:
-                kept = self.df.select(ids, *(F.col(v).alias(f"{v}_kept") for v in values))
-                back = back.join(kept, ids, "left")
-                for v in values:
-                    back = back.withColumn(v, F.coalesce(f"{v}_kept", v)).drop(f"{v}_kept")
+                kept = self.df.select("_doc", *(F.col(v).alias(f"{v}_kept") for v in values))
+                back = back.join(kept, "_doc", "left").withColumns({v: F.coalesce(f"{v}_kept", v) for v in values}).drop(*(f"{v}_kept" for v in values))
             return Session(back.withColumn(GROUP, F.lit(1).cast("int")), lost.fields, replace(self.stack, fields=lost.fields))
         return self._to(F.lit(1).cast("int"), 2)
 
@@ -133,13 +145,25 @@ class Session:
         named = {c for c in self.df.columns if c.startswith("_") or c in keep}
         df = self.df.where(F.col(GROUP) != 0).select(*(f"`{c}`" for c in self.df.columns if c in named))
         if written:
-            df = df.checkpoint()
+            df = _checkpointed(df, True)
         return replace(self, df=df, fields=keep, stack=replace(self.stack, fields=keep), base=self.base or self)
 
     # metrics -----------------------------------------------------------------------------------------------------------
 
     def push(self, *texts: str) -> Session:
-        return replace(self, stack=self.stack.push_all(texts))
+        out = self
+        for text in texts:
+            out = replace(out, stack=out.stack.push(text))
+            n = out.stack.top(text)
+            out = out._frozen(n) if n else out
+        return out
+
+    def _frozen(self, n: int) -> Session:
+        """The ``n`` metrics on top as columns, which later changes of what they are made of don't reach."""
+        at = sum(c.startswith(FROZEN) for c in self.df.columns)
+        names = [f"{FROZEN}{at + i}" for i in range(n)]
+        df = self.df.withColumns(dict(zip(names, self.stack.metrics[-n:])))
+        return replace(self, df=df, stack=self.stack.replaced(tuple(F.col(c) for c in names)))
 
     def push_query(self, query) -> Session:
         return replace(self, stack=self.stack.push_query(query))
@@ -154,7 +178,8 @@ class Session:
         if name not in self.stack.dynamics:
             raise ValueError(f"no dynamic metric {name}")
         c = dynamic_column(name)
-        return replace(self, df=self.df.withColumn(c, change(F.col(c))), steps=self.steps + 1)
+        df, steps = self._cut(self.df.withColumn(c, change(F.col(c))))
+        return replace(self, df=df, steps=steps)
 
     def create_dynamic_metric(self, name: str) -> Session:
         if name in self.stack.dynamics:

@@ -39,27 +39,27 @@ def _among(terms: Column, some: list) -> Column:
 def occurrences(df: DataFrame, fields: Sequence[Field], subsets: Mapping[tuple[str, bool], Sequence] | None, keep: Mapping[str, Column]) -> DataFrame:
     """(field, is_int, int_term, str_term, the kept columns): a row for each document, field and term.
 
-    All scalar fields come from one scan; an array field has one of its own. Terms outside a field's subset go before
-    anything is exploded.
+    All fields come from one scan and one explode. Terms outside a field's subset go before that.
     """
     subset = lambda f: None if subsets is None else list(subsets[f.name, f.is_int])
-    flat, parts, kept = [f for f in fields if not f.multi], [], [c.alias(n) for n, c in keep.items()]
-    if flat:
-        here = [F.when(f.column.isNotNull() if subset(f) is None else f.among(subset(f)), _entry(f, f.column)) for f in flat]
-        parts.append(df.select(F.explode(F.array(*here)).alias("_e"), *kept).where("_e is not null"))
+    kept = [c.alias(n) for n, c in keep.items()]
+    here = [F.when(f.column.isNotNull() if subset(f) is None else f.among(subset(f)), _entry(f, f.column)) for f in fields if not f.multi]
+    lists = [F.array(*here)] if here else []
     for f in fields:
         if f.multi:
-            some, terms = subset(f), f.terms()
-            if some is not None:
-                terms = _among(terms, some)
-            parts.append(df.select(F.explode(terms).alias("_t"), *kept).select(_entry(f, F.col("_t")).alias("_e"), *keep))
-    return reduce(DataFrame.unionAll, parts).select("_e.*", *keep)
+            terms = f.terms() if subset(f) is None else _among(f.terms(), subset(f))
+            if len(fields) == 1:  # no entries have to be made before the explode
+                return df.select(F.explode(terms).alias("_t"), *kept).select(_entry(f, F.col("_t")).alias("_e"), *keep).select("_e.*", *keep)
+            lists.append(F.coalesce(F.transform(terms, lambda t, f=f: _entry(f, t)), F.slice(F.array(_entry(f, F.lit(None).cast("long" if f.is_int else "string"))), 1, 0)))
+    each = df.select(F.explode(F.concat(*lists) if len(lists) > 1 else lists[0]).alias("_e"), *kept).where("_e is not null")
+    return each.select("_e.*", *keep)
 
 
 def term_stats(df: DataFrame, fields: Sequence[Field], metrics: Sequence[Column], subsets: Mapping[tuple[str, bool], Sequence] | None = None, doc_freq: bool = False) -> DataFrame:
     """(field, is_int, int_term, str_term, grp, s0 ...): sums for each term of each field and each group but 0.
 
-    With ``doc_freq`` also term_doc_freq, the documents of all groups that have the term. All fields share one exchange.
+    With ``doc_freq`` also term_doc_freq, the documents of all groups that have the term, which takes a second exchange of
+    the sums by term. All fields share the exchanges.
     """
     stats = [f"s{i}" for i in range(len(metrics))]
     if not fields:

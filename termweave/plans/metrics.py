@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.numbers import INT_MAX, INT_MIN, divide, log, log1pexp, long_, remainder, to_long
+from ..functions.numbers import INT_MAX, INT_MIN, divide, log, log1pexp, long_, remainder, to_long, wrap_int
 from .fields import Fields
 from .query import compile_query, parse
 from .regex import full_match
@@ -61,18 +61,25 @@ UNARY_SCALED = {
 
 
 def float_scaled(fields: Fields, name: str, scale: float, offset: float) -> Column:
-    """The field's last term as a number, times ``scale``, plus ``offset``, rounded; 0 if it is missing or no number."""
+    """The field's last term as a number, times ``scale``, plus ``offset``, rounded; 0 if it is missing or no number.
+
+    Of a result beyond 32 bits the low ones are left.
+    """
     x = fields.strings(name).text().try_cast("double")
-    return F.coalesce(F.when(x.isNotNull(), to_long(F.floor(x * scale + offset + 0.5).cast("double"))), long_(0))
+    return F.coalesce(F.when(x.isNotNull(), wrap_int(to_long(F.floor(x * scale + offset + 0.5).cast("double")))), long_(0))
 
 
 @dataclass(frozen=True)
 class Stack:
-    """Metrics in the order they were pushed. Every push gives a new stack."""
+    """Metrics in the order they were pushed. Every push gives a new stack.
+
+    ``scale``: of documents that stand for so many each; ``counts`` and fields (but ``time``) are multiplied by it.
+    """
 
     fields: Fields
     dynamics: tuple[str, ...] = ()
     metrics: tuple[Column, ...] = field(default=())
+    scale: Column | None = None
 
     def __len__(self) -> int:
         return len(self.metrics)
@@ -116,12 +123,14 @@ class Stack:
             return self._with(BINARY[text](*self.metrics[-2:]), 2)
         name, _, rest = text.partition(" ")
         rest = rest.strip()
-        if text == "count()" or text == "counts":
+        if text == "count()":
             return self._with(long_(1))
+        if text == "counts":
+            return self._with(self._scaled(long_(1)))
         if text == "abs()":
             return self._with(F.abs(self[len(self) - 1]), 1)
-        if text == "cached()":  # a Column is computed once where it is used
-            return self._with(self[len(self) - 1], 1)
+        if text == "cached()":
+            return self._with(self[len(self) - 1], 1)  # `Session.push` freezes it
         if re.fullmatch(r"[+-]?[0-9]+", text):
             if not INT_MIN <= int(text) <= INT_MAX:
                 raise ValueError(f"a literal has 32 bits: {text}")
@@ -130,7 +139,20 @@ class Stack:
             got = self._named(name, rest)
             if got is not None:
                 return got
-        return self._with(self.fields.metric(text).value())
+        value = self.fields.metric(text).value()
+        return self._with(value if text in ("time", "unixtime") else self._scaled(value))
+
+    def _scaled(self, metric: Column) -> Column:
+        return metric if self.scale is None else _exact("multiply", metric, self.scale)
+
+    def top(self, text: str) -> int:
+        """How many metrics on top a push of ``text`` freezes."""
+        name, _, rest = text.strip().partition(" ")
+        return 1 if text.strip() == "cached()" else _whole(rest.strip()) if name == "interleave" and rest else 0
+
+    def replaced(self, metrics: tuple[Column, ...]) -> Stack:
+        """With these in place of as many metrics on top."""
+        return replace(self, metrics=(*self.metrics[: len(self.metrics) - len(metrics)], *metrics))
 
     def _named(self, name: str, rest: str) -> Stack | None:
         top = len(self) - 1
@@ -175,7 +197,7 @@ class Stack:
         if name == "interleave":
             if not 0 < _whole(rest) <= len(self):
                 raise ValueError(f"{rest} metrics are needed, {len(self)} are pushed")
-            return self  # a matter of memory layout, which is the scan's
+            return self  # `Session.push` freezes them
         if name == "lucene":
             return self.push_query(parse(rest, self.fields.names("int")))
         return None
@@ -201,8 +223,3 @@ def _field_term(s: str) -> tuple[str, str]:
     if not colon:
         raise ValueError(f"field:term is needed: {s!r}")
     return f, t
-
-
-def scaled(metric: Column, factor: int) -> Column:
-    """A metric of shards that hold a sample: each value times the factor."""
-    return _exact("multiply", metric, long_(factor))

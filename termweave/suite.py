@@ -6,15 +6,20 @@ documents with the set of their lower-case words (a multi-valued string field) a
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import frontend
+from .operators.regroup import BucketStats
 from .operators.session import Session
-from .plans.metrics import scaled
 from .plans.query import And, Not, Or, Range, Term, parse
 from .plans.rules import Condition, MultiRule, QueryRule, Rule
 from .sources import catalog, dataset
@@ -338,10 +343,25 @@ def q10_fixed_point(spark, d):
     return lines(spark, d).push(*v, "exp 10", *v, "log1pexp 10", *v, "logistic 10 100").group_stats()
 
 
-@query(f"SELECT 1::INT AS grp, sum(q * 16)::BIGINT AS s0 FROM {L}")
-def m_scaled(spark, d):
-    s = lines(spark, d).push("l_quantity")
-    return Session.open(s.df.select(scaled(s.stack[0], 16).alias("q"))).push("q").group_stats()
+@query(f"SELECT 1::INT AS grp, sum(16)::BIGINT AS s0, sum(q * 16)::BIGINT AS s1, count(*)::BIGINT AS s2 FROM {L}")
+def m_counts_scaled(spark, d):
+    """Documents that stand for 16 each."""
+    s = Session.open(_table(spark, d, "lineitem"), ints=["l_quantity"], strings=[], scale=16)
+    return s.push("counts", "l_quantity", "count()").group_stats()
+
+
+@query(f"SELECT 1::INT AS grp, sum((v + 2147483648) % 4294967296 - 2147483648)::BIGINT AS s0 FROM (SELECT coalesce(floor(try_cast(l_discount::VARCHAR AS DOUBLE) * 123456789012 + 7 + 0.5), 0)::BIGINT AS v FROM {L})")
+def m_floatscale_wide(spark, d):
+    """Numbers beyond 32 bits."""
+    return lines(spark, d).push("floatscale l_discount*123456789012+7").group_stats()
+
+
+@query(f"SELECT 1::INT AS grp, sum(5)::BIGINT AS s0, sum(5 + q)::BIGINT AS s1, sum(2 * q)::BIGINT AS s2, sum(6)::BIGINT AS s3 FROM {L}")
+def m_cached_dynamic(spark, d):
+    """What is cached or interleaved keeps its values when a dynamic metric changes."""
+    s = lines(spark, d).create_dynamic_metric("foo").update_dynamic_metric("foo", [0, 5])
+    s = s.push("dynamic foo", "cached()", "dynamic foo", "l_quantity", "+", "l_quantity", "2", "*", "interleave 2", "dynamic foo")
+    return s.update_dynamic_metric("foo", [0, 1]).group_stats()
 
 
 # dynamic metrics --------------------------------------------------------------------------------------------------------
@@ -478,37 +498,178 @@ def frontend_key_join(spark, d):
     return frontend.joined_terms(lines(spark, d).push("count()", "l_quantity"), parts, "l_partkey", "p_partkey", is_int=True)
 
 
+@query(f"SELECT (q - 10) // 10 AS x, (ln - 2) // 2 AS y, count(*)::BIGINT AS n FROM {L} WHERE q >= 10 AND q < 40 AND ln >= 2 AND ln < 6 GROUP BY 1, 2")
+def bucket_stats(spark, d):
+    s = lines(spark, d).push("l_quantity", "l_linenumber").metric_regroup_2d(0, 10, 40, 10, 1, 2, 6, 2)[0]
+    cells = BucketStats({r.grp: r.s0 for r in s.pop().pop().push("count()").group_stats().collect()}, 5, 4)  # 20 cells
+    return spark.createDataFrame([(x, y, n) for x in range(3) for y in range(2) if (n := cells.get(x, y))], "x long, y long, n long")
+
+
+@query("SELECT l_returnflag AS str_term, 1::INT AS grp, count(*)::BIGINT AS term_doc_freq, count(*)::BIGINT AS s0 FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1")
+def groupless_terms(spark, d):
+    """A term whose documents are all in group 0 isn't told."""
+    s = lines(spark, d).regroup([Rule(1, Condition("l_returnflag", "A"), 1, 0)]).push("count()")
+    return s.ftgs([], ["l_returnflag"], doc_freq=True).select("str_term", "grp", "term_doc_freq", "s0")
+
+
 # shards -----------------------------------------------------------------------------------------------------------------
 
-SHARD_NAMES = ["index20240101.20240105000000", "index20240101.20240106000000", "index20240102.20240105000000", "index20240102.06-20240102.18.20240107000000", "index20240104.20240105000000", "other"]
+#: Shards of five days, the first at the day of the first event, in the zone of shard names.
+SHARD_DAYS, SHARDS = 5, 6
+SHARD_OF = "(date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) // 5)"
+SHARD_NAME = "'index' || strftime((SELECT min(ts)::DATE FROM events) + (i * 5)::INT, '%Y%m%d') || '.00-' || strftime((SELECT min(ts)::DATE FROM events) + (i * 5 + 5)::INT, '%Y%m%d') || '.00'"
+
+
+def _at(first: datetime, i: int) -> datetime:
+    return datetime(first.year, first.month, first.day, tzinfo=catalog.ZONE) + timedelta(days=SHARD_DAYS * i)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder on the storage that all executors share; below the machine's own only with a local master."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="suite-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"{path.rstrip('/')}/suite-{uuid.uuid4().hex}"
+
 
+def event_shards(spark, d) -> tuple[catalog.Catalog, datetime]:
+    """The events as shards of one dataset, one of them also in an older version, and of another's first day an older shard."""
+    root, e = _folder(spark), _table(spark, d, "events")
+    first = e.agg(F.min("ts")).first()[0]
+    e = e.select("event_id", "user_id", "event_type", F.floor(F.datediff(F.col("ts").cast("date"), F.lit(first.date())) / SHARD_DAYS).alias("shard"))
+    for i in range(SHARDS):
+        part = e.where(F.col("shard") == i).drop("shard").coalesce(1)
+        dataset.write_shard(part, f"{root}/events/{_shard_id(first, i)}.20240201000000")
+        if i == 1:  # superseded
+            dataset.write_shard(part.where("event_id % 2 = 0"), f"{root}/events/{_shard_id(first, i)}.20240131000000")
+        if i == 3:  # it overlaps one that is newer
+            dataset.write_shard(part.where("event_id % 3 = 0"), f"{root}/events/index{_at(first, i):%Y%m%d}.20240101000000")
+    return catalog.Catalog(spark, root), first
 
-def _day(n: int, hour: int = 6) -> datetime:
-    return datetime(2024, 1, n, hour, tzinfo=timezone.utc)
 
+def _shard_id(first: datetime, i: int) -> str:
+    return f"index{_at(first, i):%Y%m%d}.00-{_at(first, i + 1):%Y%m%d}.00"
 
-def _shards() -> list[catalog.Shard]:
-    return catalog.newest(map(catalog.Shard.parse, SHARD_NAMES))
+
+def _built(spark, d, i: int, j: int) -> catalog.SessionBuilder:
+    c, first = event_shards(spark, d)
+    return catalog.SessionBuilder(c, "events", _at(first, i), _at(first, j))
+
+
+@query(f"SELECT event_type AS str_term, 1::INT AS grp, count(*)::BIGINT AS s0, sum(user_id)::BIGINT AS s1 FROM events WHERE {SHARD_OF} IN (1, 2) GROUP BY 1")
+def builder_session(spark, d):
+    s = _built(spark, d, 1, 3).open(ints=["user_id"], strings=["event_type"])
+    return s.push("count()", "user_id").ftgs([], ["event_type"]).select("str_term", "grp", "s0", "s1")
+
+
+@query("SELECT 1::INT AS grp, count(*)::BIGINT AS s0, sum(user_id)::BIGINT AS s1 FROM events")
+def builder_each(spark, d):
+    """Sessions on batches of shards; what each gives is summed."""
+    most = _table(spark, d, "events").count() // 2
+    parts = _built(spark, d, 0, SHARDS).each(most, lambda s: s.push("count()", "user_id").group_stats())
+    return reduce(DataFrame.unionAll, parts).groupBy("grp").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
 
 
 @query(
-    """SELECT * FROM (VALUES ('index20240101', 20240106000000::BIGINT, 1704088800::BIGINT, 1704175200::BIGINT), ('index20240102.06-20240102.18', 20240107000000, 1704196800, 1704240000),
-('index20240104', 20240105000000, 1704348000, 1704434400)) AS t(shard, version, start_s, end_s)"""
+    f"""SELECT {SHARD_NAME} AS shard, 20240201000000::BIGINT AS version, epoch((SELECT min(ts)::DATE FROM events) + (i * 5)::INT)::BIGINT + 21600 AS start_s, count(*)::BIGINT AS n
+FROM (SELECT {SHARD_OF} AS i FROM events) WHERE i BETWEEN 0 AND 5 GROUP BY i"""
 )
 def shard_overlap(spark, d):
-    start, end = _day(1), _day(6)
-    # a request from 12:00 on finds the newer part of the 2nd before the day-long shard
-    late = catalog.without_overlaps(filter(catalog.overlapping(_day(2, 12), end), _shards()), _day(2, 12))
-    early = catalog.without_overlaps(filter(catalog.overlapping(start, _day(2)), _shards()), start)
-    rows = [(s.shard_id, s.version, int(s.times[0].timestamp()), int(s.times[1].timestamp())) for s in [*early, *late]]
-    return spark.createDataFrame(rows, "shard string, version long, start_s long, end_s long")
+    """The chosen shards and their documents."""
+    b = _built(spark, d, 0, SHARDS)
+    chosen = spark.createDataFrame([(s.folder, s.shard_id, s.version, int(s.times[0].timestamp())) for s in b.shards()], "_shard string, shard string, version long, start_s long")
+    return b.read().groupBy("_shard").agg(F.count("*").alias("n")).join(chosen, "_shard").drop("_shard")
 
 
-@query("SELECT * FROM (VALUES (1704261600::BIGINT, 1704348000::BIGINT), (1704434400, 1704520800)) AS t(start_s, end_s)")
+@query("SELECT epoch((SELECT min(ts)::DATE FROM events) + (i * 5)::INT)::BIGINT + 21600 AS start_s, epoch((SELECT min(ts)::DATE FROM events) + (i * 5 + 5)::INT)::BIGINT + 21600 AS end_s FROM (VALUES (2), (5)) AS t(i)")
 def shard_gaps(spark, d):
-    start, end = _day(1), _day(6)
-    chosen = catalog.without_overlaps(filter(catalog.overlapping(start, end), _shards()), start)
-    return spark.createDataFrame([(int(a.timestamp()), int(b.timestamp())) for a, b in catalog.gaps(chosen, start, end)], "start_s long, end_s long")
+    """Of shards that were deleted."""
+    c, first = event_shards(spark, d)
+    for i in (2, 5):
+        dataset.delete(spark, c.path("events", next(s for s in c.shards("events") if s.shard_id == _shard_id(first, i))))
+    b = catalog.SessionBuilder(c, "events", _at(first, 0), _at(first, SHARDS))
+    return spark.createDataFrame([(int(x.timestamp()), int(y.timestamp())) for x, y in b.missing()], "start_s long, end_s long")
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT {SHARD_NAME} AS shard, 20240201000000::BIGINT AS version FROM (SELECT {SHARD_OF} AS i FROM events) WHERE i BETWEEN 0 AND 5
+UNION ALL SELECT 'index' || strftime((SELECT min(ts)::DATE FROM events) + 15, '%Y%m%d'), 20240101000000)
+SELECT 'events' AS dataset, shard, version, 'event_id,event_type,user_id' AS fields, (SELECT count(*) FROM s)::INT AS shards FROM s"""
+)
+def catalog_shards(spark, d):
+    """Datasets, shards in their newest versions and fields, and what the status tells."""
+    c, _ = event_shards(spark, d)
+    listed = c.describe().select("dataset", "shard", "version", F.array_join(F.array_sort("columns"), ",").alias("fields"))
+    return listed.join(c.status().select("dataset", "shards"), "dataset")
+
+
+@query(f"SELECT event_type AS str_term, 1::INT AS grp, count(*)::BIGINT AS s0 FROM events WHERE {SHARD_OF} IN (2, 4) GROUP BY 1")
+def copied_shards(spark, d):
+    """Copies of a time range's shards, without one of them, below another root."""
+    c, first = event_shards(spark, d)
+    target = _folder(spark)
+    dataset.copy_time_range(c, "events", target, _at(first, 2), _at(first, 3))
+    dataset.copy_shards(c, "events", target, lambda s: s.shard_id == _shard_id(first, 4))
+    b = catalog.SessionBuilder(catalog.Catalog(spark, target), "events", _at(first, 0), _at(first, SHARDS))
+    return b.open(strings=["event_type"]).push("count()").ftgs([], ["event_type"]).select("str_term", "grp", "s0")
+
+
+@query("SELECT n_regionkey::BIGINT AS int_term, 1::INT AS grp, count(*)::BIGINT AS s0, sum(n_nationkey)::BIGINT AS s1 FROM nation GROUP BY 1")
+def document_writer(spark, d):
+    """Documents added one by one, in segments, compacted to one shard."""
+    path = _folder(spark)
+    with dataset.DocumentWriter(spark, path, buffer=10) as w:
+        for r in _table(spark, d, "nation").toLocalIterator():
+            w.add({"name": [r.n_name], "region": [r.n_regionkey], "key": [r.n_nationkey]})
+    return Session.open(dataset.open_index(spark, path)).push("count()", "key").ftgs(["region"]).select("int_term", "grp", "s0", "s1")
+
+
+@query("SELECT n_name AS str_term, 1::INT AS grp, n_nationkey::BIGINT AS s0 FROM nation")
+def in_memory(spark, d):
+    """An index from documents in memory and one from terms with their documents, merged."""
+    rows = _table(spark, d, "nation").collect()  # 25
+    half = dataset.from_documents(spark, [{"name": r.n_name, "key": r.n_nationkey} for r in rows[:12]])
+    terms = {"name": {r.n_name: [i] for i, r in enumerate(rows[12:])}, "key": {r.n_nationkey: [i] for i, r in enumerate(rows[12:])}}
+    return Session.open(dataset.merge([half, dataset.from_terms(spark, len(rows) - 12, terms)])).push("key").ftgs([], ["name"]).select("str_term", "grp", "s0")
+
+
+@query("SELECT o_orderstatus AS str_term, 1::INT AS grp, count(*)::BIGINT AS s0, sum(o_custkey)::BIGINT AS s1 FROM orders GROUP BY 1")
+def copied_index(spark, d):
+    """Some fields of an index, copied, the copy in the order of a field."""
+    first, second = _folder(spark), _folder(spark)
+    dataset.copy_index(spark, f"{d}/orders.parquet", first, ["o_custkey", "o_orderstatus"])
+    dataset.write_shard(dataset.sort_index(spark.read.parquet(first), "o_custkey"), second, sort_by=["o_custkey"])
+    return Session.open(dataset.open_index(spark, second)).push("count()", "o_custkey").ftgs([], ["o_orderstatus"]).select("str_term", "grp", "s0", "s1")
+
+
+@query("SELECT n_name, row_number() OVER (ORDER BY n_name)::INT AS place FROM nation")
+def sorted_index(spark, d):
+    docs = dataset.sort_index(_table(spark, d, "nation").select("n_name"), "n_name")
+    return docs.select("n_name", F.row_number().over(Window.orderBy("_doc")).alias("place"))  # 25 rows
+
+
+@query("SELECT k AS kind, 1::INT AS grp, count(*)::BIGINT AS s0, sum(n_regionkey)::BIGINT AS s1 FROM nation, (VALUES ('parquet'), ('orc'), ('json'), ('csv')) AS t(k) GROUP BY 1")
+def open_formats(spark, d):
+    """The formats of an index, told by its files."""
+    out, n = [], _table(spark, d, "nation").select("n_name", "n_regionkey")
+    for kind in ("parquet", "orc", "json", "csv"):
+        path = _folder(spark)
+        (n.write.option("header", "true") if kind == "csv" else n.write).format(kind).save(path)
+        out.append(Session.open(dataset.open_index(spark, path)).push("count()", "n_regionkey").group_stats().withColumn("kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("SELECT l_returnflag AS str_term, 1::INT AS grp, count(*)::BIGINT AS s0 FROM lineitem GROUP BY 1")
+def term_stats_files(spark, d):
+    """Statistics of two halves of the documents, written, read back and merged."""
+    paths = [_folder(spark), _folder(spark)]
+    for i, path in enumerate(paths):
+        half = lines(spark, d).regroup([Rule(1, Condition("l_linenumber", 3, True), 1 - i, i)]).push("count()")
+        dataset.write_term_stats(half.ftgs([], ["l_returnflag"]), path)
+    return dataset.merge_term_stats([dataset.read_term_stats(spark, p) for p in paths]).select("str_term", "grp", "s0")
 
 
 @query("SELECT 1::INT AS grp, ((SELECT count(*) FROM orders) + (SELECT count(*) FROM customer))::BIGINT AS s0, (SELECT sum(o_custkey) FROM orders)::BIGINT AS s1")
