@@ -1,8 +1,10 @@
 """Operator 9: near-duplicate documents by improved consistent weighted sampling.
 
 A text's features are its shingles of five lower-cased words (a text of one to four words has one shingle of them all),
-weighted by how often they occur in it times a smoothed idf between 1 and 2, in sixteenths: 2 for a shingle whose hash
-slot holds an even share of all shingles of all documents, less for what is frequent. Two texts are linked if their
+weighted by how often they occur in it times a smoothed idf between 1 and 2, in sixteenths: one more than a sixteenth of
+the binary logarithm of its share of all documents' shingles, rounded, so 2 from a share of 2**-16 down. Shares are exact: a
+sketch over all documents tells the hash slots that hold so large a share, whose shingles are then counted one by one, and
+at most 2**16 of them can have it. Two texts are linked if their
 weighted Jaccard similarity, the sum of the smaller over the sum of the larger weights, is at least the threshold;
 weights are integers, so that the comparison is exact. A class is what links connect, with all copies of its texts.
 
@@ -33,13 +35,14 @@ from pyspark.sql import functions as F
 
 from . import words
 from .bpe import slices
-from .common import components, scratch, text_key
+from .common import components, drop, scratch, text_key
 from .words import mixed
 
 WORDS = 5
 BANDS, ROWS = 20, 4
 SLOTS = 1 << 16
 LEVELS = 17
+SKETCH = 1 << 18
 BLOCK = 2048
 LEADERS = 2
 
@@ -52,16 +55,33 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return words.runs(h, min(n, len(h))) if len(h) else h
 
 
-def idf_levels(counts: np.ndarray) -> np.ndarray:
-    """0 to 16 for each slot: idf is 1 + level / 16, and 16 is an even share."""
-    share = np.maximum(counts, 1) / max(1, counts.sum())
-    return np.clip(np.round(-np.log2(share)), 0, LEVELS - 1).astype(np.uint8)
+class Idf:
+    """Levels of the shingles that are frequent enough for less than the highest: idf is 1 + level / 16."""
 
+    def __init__(self, total: int = 0, hot: np.ndarray | None = None, shingles_: np.ndarray | None = None, counts: np.ndarray | None = None):
+        self.hot = np.zeros(SKETCH, bool) if hot is None else hot
+        order = np.argsort(shingles_) if shingles_ is not None else slice(0)
+        self.shingles = np.zeros(0, np.uint64) if shingles_ is None else shingles_[order]
+        self.own = np.zeros(0, np.int64) if counts is None else self.level(counts[order], total)
 
-def weighted(text: str | None, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def level(counts: np.ndarray, total: int) -> np.ndarray:
+        return np.clip(np.round(-np.log2(counts / max(1, total))), 0, LEVELS - 1).astype(np.int64)
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), LEVELS - 1, np.int64)
+        if len(self.shingles):
+            some = np.flatnonzero(self.hot[(h & np.uint64(SKETCH - 1)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.shingles, h[some]), len(self.shingles) - 1)
+            same = self.shingles[at] == h[some]
+            out[some[same]] = self.own[at[same]]
+        return out
+
+
+def weighted(text: str | None, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of a text, ascending, and their weights in sixteenths."""
     h, tf = np.unique(shingles(text), return_counts=True)
-    return h, tf * (16 + levels[h & np.uint64(SLOTS - 1)].astype(np.int64))
+    return h, tf * (16 + idf.levels(h))
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
@@ -77,9 +97,8 @@ def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 
 
 class Sampler:
-    def __init__(self, levels: np.ndarray, k: int = BANDS * ROWS, seed: int = 20):
+    def __init__(self, k: int = BANDS * ROWS, seed: int = 20):
         g = np.random.Generator(np.random.PCG64(seed))
-        self.levels = levels
         self.r, c, self.beta = g.gamma(2, 1, SLOTS), g.gamma(2, 1, SLOTS), g.random(SLOTS)
         self.log_c = np.log(c)
         self.odd = g.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,26 +134,46 @@ class Sampler:
         return out.view(np.int64)
 
 
-def slot_counts(texts: DataFrame) -> np.ndarray:
-    """How many shingles of all documents fall into each hash slot; a text counts once for each of its copies."""
+def frequencies(texts: DataFrame) -> Idf:
+    """From the shingles of all documents; a text counts once for each of its copies."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+    def each(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
+        for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            yield np.unique(shingles(t)), n
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
         for b in slices(batches):
-            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total += n * np.bincount((np.unique(shingles(t)) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS) if t else 0
+            for h, n in each(b):
+                np.add.at(total, (h & np.uint64(SKETCH - 1)).astype(np.int64), n)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
 
-    out = np.zeros(SLOTS, np.int64)
-    for slot, n in texts.select("text", "copies").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect():  # SLOTS rows at most
-        out[slot] = n
-    return out
+    slots = texts.select("text", "copies").mapInArrow(sketch, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    slots = scratch(slots, "near-slots")  # SKETCH rows at most
+    total = slots.agg(F.sum("n")).first()[0] or 0
+    least = max(2, total >> 16)
+    hot = np.zeros(SKETCH, bool)
+    hot[[r.slot for r in slots.where(F.col("n") >= least).select("slot").collect()]] = True  # 2**16 at most
+    drop(slots)
+    held = texts.sparkSession.sparkContext.broadcast(hot)  # SKETCH bytes
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [(h[held.value[(h & np.uint64(SKETCH - 1)).astype(np.int64)]], n) for h, n in each(b)]
+            h = np.concatenate([f for f, _ in found]) if found else np.zeros(0, np.uint64)
+            n = np.repeat([n for _, n in found], [len(f) for f, _ in found])
+            one, at = np.unique(h, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(np.bincount(at, n, len(one)).astype(np.int64))], names=["h", "n"])
+
+    own = texts.select("text", "copies").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()  # 2**16 at most
+    held.unpersist()
+    return Idf(total, hot, np.array([r.h for r in own], np.int64).view(np.uint64), np.array([r.n for r in own], np.int64))
 
 
-def compared(pairs: DataFrame, texts: DataFrame, levels: np.ndarray, t: Fraction) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, idf: Idf, t: Fraction) -> DataFrame:
     """``pairs`` (a, b) with their similarity and whether they are linked."""
-    held = pairs.sparkSession.sparkContext.broadcast(levels)  # SLOTS bytes
+    held = pairs.sparkSession.sparkContext.broadcast(idf)  # SKETCH bytes and 2**16 shingles at most
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -152,9 +191,9 @@ def compared(pairs: DataFrame, texts: DataFrame, levels: np.ndarray, t: Fraction
     return both.select("a", "b", "u", "v").mapInArrow(check, "a long, b long, sim double, linked boolean")
 
 
-def weights(texts: DataFrame, levels: np.ndarray) -> DataFrame:
+def weights(texts: DataFrame, idf: Idf) -> DataFrame:
     """(node, total, own): a text's weight, and that of the shingles which no other of the texts has."""
-    held = texts.sparkSession.sparkContext.broadcast(levels)  # SLOTS bytes
+    held = texts.sparkSession.sparkContext.broadcast(idf)  # SKETCH bytes and 2**16 shingles at most
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -174,13 +213,13 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), text_key(F.col(text)).alias("k")).where(F.col("text").rlike(r"[^ \t-\r]"))
     texts = rows.groupBy("k").agg(F.first("text").alias("text"), F.min("id").alias("id"), F.count("*").alias("copies"))
     texts = scratch(texts.select(F.monotonically_increasing_id().alias("node"), "*"), "near-texts")
-    levels = idf_levels(slot_counts(texts))
-    held = df.sparkSession.sparkContext.broadcast(levels)  # SLOTS bytes
+    idf = frequencies(texts)
+    held = df.sparkSession.sparkContext.broadcast(idf)  # SKETCH bytes and 2**16 shingles at most
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Sampler(held.value)
+        s = Sampler()
         for b in slices(batches):
-            found = [s.bands(*weighted(x, s.levels)) for x in b.column(1).to_pylist()]
+            found = [s.bands(*weighted(x, held.value)) for x in b.column(1).to_pylist()]
             nodes = np.repeat(b.column(0).to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["node", "bucket"])
 
@@ -200,7 +239,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
         ends = F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")
         pairs = placed.select(*ends).distinct()
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        found = scratch(compared(scratch(pairs, "near-pairs"), bodies, levels, t), "near-tried")
+        found = scratch(compared(scratch(pairs, "near-pairs"), bodies, idf, t), "near-tried")
         tried = found if tried is None else tried.union(found)
         roots = components(tried.where("linked"), "a", "b", "near")
         placed = placed.drop("root").select("*", *ends).join(tried.select("a", "b", F.col("sim").alias(f"sim{turn}")), ["a", "b"]).drop("a", "b", "lead")
@@ -209,7 +248,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
         # a shingle that no other of these texts has is in no other; a text with too many can't have a link, and goes
         split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
         placed = scratch(placed.join(split, "bucket").drop("total", "own"), "near-split")
-        placed = placed.join(weights(placed.select("node").distinct().join(bodies, "node"), levels), "node")
+        placed = placed.join(weights(placed.select("node").distinct().join(bodies, "node"), idf), "node")
         placed = scratch(placed.where((F.col("total") - F.col("own")) * t.denominator >= F.col("total") * t.numerator), "near-split")
     placed = placed.join(placed.groupBy("node").agg(F.collect_list("bucket").alias("all")), "node")  # BANDS at most
     other = placed.select("bucket", *(F.col(c).alias(f"{c}_") for c in placed.columns if c != "bucket"))
@@ -219,7 +258,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     pairs = pairs.select(F.col("node").alias("a"), F.col("node_").alias("b")).join(tried, ["a", "b"], "left_anti")
     pairs = scratch(pairs, "near-pairs")
     if not pairs.isEmpty():
-        more = scratch(compared(pairs, bodies, levels, t), "near-tried")
+        more = scratch(compared(pairs, bodies, idf, t), "near-tried")
         roots = components(tried.union(more).where("linked"), "a", "b", "near")
     named = texts.select("k", "node", "id").join(roots, "node", "left").select("k", "id", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("id").alias("class_id"))

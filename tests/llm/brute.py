@@ -1,7 +1,8 @@
 """Brute-force versions of the operators, for small tables."""
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 words_of = re.compile("[^\x20\x09-\x0d]+").findall
@@ -69,3 +70,28 @@ def containment(docs, items, n=5, t=Fraction(4, 5)):
             if s and len(s & own) >= t * len(s):
                 out[d, i] = len(s), len(s & own)
     return out
+
+
+def near_classes(rows, t=Fraction(4, 5)):
+    """(id, text) -> {id: smallest id of its class}, links: weighted Jaccard of all pairs over counts of shingles times idf.
+
+    idf: 16 sixteenths and as many more as the binary logarithm of the shingle's share of all says, 16 more at most.
+    """
+    each = []
+    for _, text in rows:
+        w = words_of((text or "").lower())
+        k = min(5, len(w))
+        each.append(Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else Counter())
+    n = Counter(s for c in each for s in c)
+    total = sum(n.values())
+    idf = {s: 16 + (16 if m < max(2, total >> 16) else min(16, max(0, round(-math.log2(m / total))))) for s, m in n.items()}
+    weights = [{s: tf * idf[s] for s, tf in c.items()} for c in each]
+    sums = [sum(w.values()) for w in weights]
+    links = []
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            u, v = sorted((weights[a], weights[b]), key=len)
+            low = sum(min(x, v[s]) for s, x in u.items() if s in v)
+            if low and low >= t * (sums[a] + sums[b] - low):
+                links.append((rows[a][0], rows[b][0]))
+    return connected([i for i, _ in rows], links), len(links)

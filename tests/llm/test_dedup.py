@@ -175,23 +175,31 @@ def test_lines_odd_rows(spark):
     assert line_dedup.dedup_lines(df.limit(0)).collect() == []
 
 
-def near_classes(rows):
-    counts = np.zeros(near_dedup.SLOTS, np.int64)
-    for _, t in rows:
-        counts += np.bincount((np.unique(near_dedup.shingles(t)) & np.uint64(near_dedup.SLOTS - 1)).astype(np.int64), minlength=near_dedup.SLOTS)
-    levels = near_dedup.idf_levels(counts)
-    vec = [(i, near_dedup.weighted(t, levels)) for i, t in rows]
-    links = [(a, b) for k, (a, u) in enumerate(vec) for b, v in vec[k + 1 :] if near_dedup.similar(u, v, near_dedup.Fraction(4, 5))]
-    return brute.connected([i for i, _ in rows], links), len(links)
-
-
 def test_near_duplicates_of_a_whole_table(spark, small):
-    want, links = near_classes(texts_of(small))
+    want, links = brute.near_classes(texts_of(small))
     got = queries.op9_near_dedup(spark, small).collect()
     assert {r.doc_id: r.class_id for r in got} == want
     assert all(r.kept == (r.doc_id == r.class_id) for r in got) and links > 5
 
 
+def test_frequent_shingles_weigh_less(spark):
+    """A passage that all documents share counts less than what they don't share."""
+    same = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, same + " " + " ".join(f"d{i}w{k}" for k in range(8))) for i in range(30)] + [(100 + i, f"{same} tail of {i}") for i in range(6)]
+    want, links = brute.near_classes(rows)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, FIELDS)).collect()} == want and links
+    idf = near_dedup.frequencies(spark.createDataFrame([(t, 1) for _, t in rows], "text string, copies long"))
+    h = near_dedup.shingles(same)
+    assert set(idf.levels(h).tolist()) == {round(np.log2((36 * 36 + 30 * 8 + 6 * 3) / 36))} and set(idf.levels(near_dedup.shingles("never seen in any document")).tolist()) == {16}
+
+
+def test_near_duplicates_of_a_very_long_text(spark):
+    long = " ".join(f"w{i % 9973}x{i % 31}" for i in range(60_000))
+    rows = [(1, long), (2, long + " and a few more words"), (3, "short " * 9), (4, long[: len(long) // 2])]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, FIELDS)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 @pytest.mark.parametrize("most", [4, 9, 12])
 def test_near_duplicates_of_a_large_group(spark, most):
     """Near copies on both sides of the threshold: no link between classes may be lost."""
@@ -205,7 +213,7 @@ def test_near_duplicates_of_a_large_group(spark, most):
         rows.append((i + 10, " ".join(w)))
     rows += [(500 + i, " ".join(f"c{i}w{k}" for k in range(60))) for i in range(50)]
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, FIELDS)).collect()}
-    assert got == near_classes(rows)[0]
+    assert got == brute.near_classes(rows)[0]
 
 
 def test_near_duplicates_odd_rows(spark):
