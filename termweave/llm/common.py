@@ -16,11 +16,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers find this package where it lies on the driver; on a cluster without a shared home use --py-files."""
+    """Let Python workers find this package where it lies on the driver; on a cluster without a shared home use --py-files.
+
+    Batches for them hold whole texts, so they get fewer rows than Spark's default, unless the session says otherwise.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1024")
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)

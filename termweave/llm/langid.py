@@ -19,7 +19,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -173,11 +172,11 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     share = min(1.0, rows / n)
     chosen = labelled.where(F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         size = WORD_SLOTS + GRAM_SLOTS + len(NAMES)
-        for f in frames:
-            for l, t in zip(f[lang], f[text]):
+        for b in slices(batches):
+            for l, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 a = sums.setdefault(l, np.zeros(size, np.int64))
                 words = words_of(t.lower())
                 if words:
@@ -185,9 +184,9 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                     a += np.bincount(np.concatenate([slot, WORD_SLOTS + grams, WORD_SLOTS + GRAM_SLOTS + own]), minlength=size)
         for l, a in sums.items():
             at = np.flatnonzero(a)
-            yield pd.DataFrame({"lang": l, "slot": at, "n": a[at]})
+            yield pa.RecordBatch.from_arrays([pa.array([l] * len(at), pa.string()), pa.array(at), pa.array(a[at])], names=["lang", "slot", "n"])
 
-    counted = chosen.select(F.col(lang), F.col(text)).mapInPandas(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    counted = chosen.select(F.col(lang).cast("string"), F.col(text)).mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     got = counted.toPandas()  # at most (WORD_SLOTS + GRAM_SLOTS + scripts) rows a language
     langs = sorted(got["lang"].unique())
     a = np.zeros((WORD_SLOTS + GRAM_SLOTS + len(NAMES), len(langs)))
