@@ -315,6 +315,7 @@ BY_METRIC = {
     "m_hasstr": (lines, ["hasstr l_returnflag:R"], "(l_returnflag = 'R')::BIGINT"),
     "m_regex": (lines, ["regex l_returnflag:[AN]"], "(l_returnflag IN ('A', 'N'))::BIGINT"),
     "m_regex_int": (lines, ["regex l_partkey:1.*9"], "regexp_full_match(l_partkey::VARCHAR, '1.*9')::BIGINT"),
+    "m_regex_automaton": (lines, ["regex l_partkey:<90-250>&~(@7)|#|5."], "((l_partkey BETWEEN 90 AND 250 AND l_partkey % 10 <> 7) OR l_partkey BETWEEN 50 AND 59)::BIGINT"),
     "m_strtermcount": (lines, ["strtermcount l_returnflag", "inttermcount l_partkey", "+"], "2"),
     "m_ref": (lines, ["l_quantity", "l_linenumber", "ref 1", "*", "-"], "q - ln * q"),
     "m_cached_interleave": (lines, ["l_quantity", "cached()", "l_linenumber", "interleave 2", "+"], "q + ln"),

@@ -1,12 +1,14 @@
 """Expected values of small indexes, operator by operator."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from termweave.operators.regroup import BucketStats
 from termweave.operators.session import Session
 from termweave.plans.query import And, Not, Or, Range, Term, compile_query, parse
-from termweave.plans.regex import translate
+from termweave.plans.regex import full_match, interval, translate
 from termweave.plans.rules import Condition, MultiRule, QueryRule, Rule
 from termweave.sources.dataset import from_documents, from_terms
 
@@ -190,12 +192,45 @@ def test_query_text():
 
 def test_regex_dialect():
     assert translate("a.b") == "(?s)\\A(?:a.b)\\z" and translate("^a$") == "(?s)\\A(?:\\^a\\$)\\z"
-    for bad in ("~a", "a&b", "#", "@", "<1-9>", "[a", "a\\", '"a'):
+    for bad in ("a~b", "x(a&b)y", "~ab", "<a-b>", "<", "[a", "a\\", '"a', "(a", "a)", "~", "(a&b)*"):
+        with pytest.raises(ValueError):
+            full_match(bad)
+    for bad in ("~a", "a&b"):
         with pytest.raises(ValueError):
             translate(bad)
     translate("[~&@#<]\\~")
 
 
+AUTOMATA = {  # terms that match, terms that don't
+    "~(ab.*)": (["", "a", "b"], ["ab", "abc"]),
+    "~a": (["", "b", "aa"], ["a"]),
+    "~~a": (["a"], ["b"]),
+    "a.*&.*b": (["ab", "axb"], ["a", "b", "ba"]),
+    "a.*&~(.*b.*)|z": (["a", "ac", "z"], ["ab", "acb", "zz"]),
+    "(x|(a.&.b))": (["x", "ab"], ["ac", "xb"]),
+    "a@": (["a", "a\nb"], ["", "ba"]),
+    "a#|b": (["b"], ["a", ""]),
+    "a#*": (["a"], ["ab", ""]),
+    "<8-112>": (["8", "9", "10", "99", "100", "112", "007" + "0", "0112"], ["7", "113", "1000", "", "x"]),
+    "v<05-12>": (["v05", "v10", "v12"], ["v5", "v13", "v005", "v04"]),
+    "<0-0>": (["0"], ["1", "00"]),
+    '"a.b"+': (["a.b", "a.ba.b"], ["axb"]),
+}
+
+
+def test_automaton_operators(spark):
+    rows = [(k, t, hit) for k, (yes, no) in AUTOMATA.items() for t, hit in [*((t, True) for t in yes), *((t, False) for t in no)]]
+    df = spark.createDataFrame(rows, "k string, t string, hit boolean")
+    for k in AUTOMATA:
+        assert df.where((F.col("k") == k) & (full_match(k)(F.col("t")) != F.col("hit"))).collect() == [], k
+
+
+@pytest.mark.parametrize("low,high", [(0, 999), (7, 7), (13, 987), (90, 110), (1, 1000), (100, 200)])
+def test_number_intervals(low, high):
+    test = re.compile(interval(str(low), str(high))).fullmatch
+    assert [n for n in range(1200) if test(str(n))] == list(range(low, high + 1))
+
+
 METRIC_DOCS = [{"if1": v, "sf1": "☃" if i in (3, 4, 8) else "x"} for i, v in enumerate([5, 10, 5, 15, 5, 15, 5, 10, 5, 20])]
 
 
