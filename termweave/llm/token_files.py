@@ -8,7 +8,8 @@ offset indexes are on, so a reader that wants a few documents, or only the metad
 Columns: doc_id, part (range number), local_start (ids of the part before the document), n_tokens (with the end id),
 token_ids. `read_digests` reads them back: the starts from the metadata alone, and checksums from the ids.
 
-Ties in the key are ordered by text; null keys come first; a null text has only the end id.
+Ties in the key are ordered by a hash of the text, then by the text, so that many texts of one key or of none make several
+files; null keys come first; a null text has only the end id.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ def write_tokens(df: DataFrame, path: str, vocab: str = TOKENIZER, end_id: int |
             start += int(ends[-1]) if len(ends) else 0
 
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = df.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
+    rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     rows.mapInArrow(run, SCHEMA).write.options(**OPTIONS).parquet(path)
 
 
