@@ -32,6 +32,11 @@ def _entry(f: Field, term: Column) -> Column:
     return F.struct(F.lit(f.name).alias("field"), F.lit(f.is_int).alias("is_int"), (term if f.is_int else none_int).alias("int_term"), (none_str if f.is_int else term).alias("str_term"))
 
 
+def _entries(f: Field, terms: Column) -> Column:
+    none = F.slice(F.array(_entry(f, F.lit(None).cast("long" if f.is_int else "string"))), 1, 0)
+    return F.coalesce(F.transform(terms, lambda t: _entry(f, t)), none)
+
+
 def _among(terms: Column, some: list) -> Column:
     return F.filter(terms, lambda t: t.isin(some)) if some else F.slice(terms, 1, 0)
 
@@ -50,7 +55,7 @@ def occurrences(df: DataFrame, fields: Sequence[Field], subsets: Mapping[tuple[s
             terms = f.terms() if subset(f) is None else _among(f.terms(), subset(f))
             if len(fields) == 1:  # no entries have to be made before the explode
                 return df.select(F.explode(terms).alias("_t"), *kept).select(_entry(f, F.col("_t")).alias("_e"), *keep).select("_e.*", *keep)
-            lists.append(F.coalesce(F.transform(terms, lambda t, f=f: _entry(f, t)), F.slice(F.array(_entry(f, F.lit(None).cast("long" if f.is_int else "string"))), 1, 0)))
+            lists.append(_entries(f, terms))
     each = df.select(F.explode(F.concat(*lists) if len(lists) > 1 else lists[0]).alias("_e"), *kept).where("_e is not null")
     return each.select("_e.*", *keep)
 

@@ -137,6 +137,17 @@ def test_cached_metrics_keep_their_values(twenty):
         twenty.push("interleave 1")
 
 
+def test_array_and_scalar_fields_share_one_scan(spark):
+    rows = [(1, [3, 4], "x", ["a"]), (2, None, None, ["a", "b"]), (None, [], "y", None), (5, [4], "x", [])]
+    s = Session.open(spark.createDataFrame(rows, "n long, many array<long>, t string, words array<string>")).push("count()")
+    got = s.ftgs(["n", "many"], ["t", "words"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
+    want = [("many", 3, None, 1), ("many", 4, None, 2), ("n", 1, None, 1), ("n", 2, None, 1), ("n", 5, None, 1), ("t", None, "x", 2), ("t", None, "y", 1), ("words", None, "a", 2), ("words", None, "b", 1)]
+    assert sorted(((r.field, r.int_term, r.str_term, r.s0) for r in got.collect()), key=str) == sorted(want, key=str)
+    some = s.subset_ftgs({"many": [4], "n": [1]}, {"words": ["b"]})
+    assert sorted((r.field, r.s0) for r in some.collect()) == [("many", 2), ("n", 1), ("words", 1)]
+
+
 def test_float_scaling_keeps_32_bits(spark):
     s = Session.open(from_documents(spark, [{"f": ["30000000000"]}, {"f": ["-1.5"]}, {"f": ["x"]}, {}]))
     assert [r[0] for r in s.push("floatscale f*1+0").df.select(s.push("floatscale f*1+0").stack[0]).collect()] == [30000000000 - 7 * 2**32, -1, 0, 0]
