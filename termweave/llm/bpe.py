@@ -36,6 +36,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 CACHE_ENTRIES = 1 << 18
 CACHED_LENGTH = 48
 CHUNK = 1 << 15
+FRAGMENT = 256
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -146,6 +147,7 @@ class Encoder:
         fragment, cut = fragment_pattern(inside)
         self.frag = re.compile(fragment).findall
         self.cut = re.compile(cut)
+        self.long = re.compile(f"(?s).{{{FRAGMENT},}}?{cut}|.+").findall
         # a plain text can be cut anywhere; one that holds an added token is cut around it first, as the library does
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else re.compile("((?!))")
         self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
@@ -157,13 +159,18 @@ class Encoder:
     def _ids(self, fragment: str) -> bytes:
         return array("I", self.ranked(fragment) if self.ranked else self.tok.encode(fragment, add_special_tokens=False).ids).tobytes()
 
-    def _plain(self, text: str) -> bytes:
+    def _plain(self, text: str, long: bool = False) -> bytes:
+        if long and self.ranked:
+            return b"".join(map(self._ids, self.long(text)))
         out = b"".join(map(self.known.__getitem__, self.frag(text)))
         self.known.age()
         return out
 
-    def chunks(self, text: str) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, in pieces of about CHUNK characters."""
+    def chunks(self, text: str, long: bool = False) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, in pieces of about CHUNK characters.
+
+        ``long``: only the first certain cut after each FRAGMENT characters is used, and no table, where ranks encode.
+        """
         whole = self.special.split(text) if any(m in text for m in self.marks) else [text]
         for piece in whole:
             if piece in self.added:
@@ -171,13 +178,13 @@ class Encoder:
                 continue
             at = 0
             while len(piece) - at > 2 * CHUNK and (m := self.cut.search(piece, at + CHUNK)):
-                yield self._plain(piece[at : m.end()])
+                yield self._plain(piece[at : m.end()], long)
                 at = m.end()
             if at < len(piece):
-                yield self._plain(piece[at:] if at else piece)
+                yield self._plain(piece[at:] if at else piece, long)
 
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(self.chunks(text or ""))
+    def encode(self, text: str | None, long: bool = False) -> bytes:
+        return b"".join(self.chunks(text or "", long))
 
     def decode_bytes(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

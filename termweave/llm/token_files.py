@@ -1,6 +1,7 @@
 """Operator 10: token ids as Parquet list columns.
 
-The texts are range-partitioned by key, sorted, encoded (operator 1) and written by Spark's Parquet writer in version 2
+The texts are range-partitioned by key, sorted, encoded (as operator 1 does, but in fragments of FRAGMENT characters and
+more, which costs less than a table of words does) and written by Spark's Parquet writer in version 2
 pages: the ids keep their dictionary (a vocabulary's ids fit one dictionary page, so each takes as many bits as the
 vocabulary needs), the metadata columns are delta encoded. Row groups and pages are kept small and Parquet's column and
 offset indexes are on, so a reader that wants a few documents, or only the metadata, reads only those pages.
@@ -49,7 +50,7 @@ def write_tokens(df: DataFrame, path: str, vocab: str = TOKENIZER, end_id: int |
     def run(batches):
         e, part, start = encoder(vocab), TaskContext.get().partitionId(), 0
         for b in slices(batches):
-            made = [e.encode(t) + end for t in b.column(1).to_pylist()]
+            made = [e.encode(t, long=True) + end for t in b.column(1).to_pylist()]
             n = np.array([len(x) // 4 for x in made], np.int64)
             ends = np.cumsum(n)
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))

@@ -33,11 +33,13 @@ def ids_of(plain, text):
 @pytest.mark.parametrize("chunk", [3, 1 << 15])
 def test_encoder_on_odd_texts(plain, monkeypatch, ranked, chunk):
     monkeypatch.setattr(bpe, "CHUNK", chunk)
+    monkeypatch.setattr(bpe, "FRAGMENT", chunk % 1000)
     e = bpe.Encoder(bpe.resolve(TOKENIZER))
     if not ranked:
         e.ranked = None
     for t in ODD + [" ".join(ODD * 3)]:
         ids = np.frombuffer(e.encode(t), "<u4").tolist()
+        assert e.encode(t, long=True) == e.encode(t), repr(t)
         assert ids == ids_of(plain, t), repr(t)
         assert e.decode(e.encode(t)) == plain.decode(ids, skip_special_tokens=False) == t
 
