@@ -10,7 +10,7 @@ import tempfile
 import threading
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +59,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 _writers: Counter = Counter()
 _before: dict[SparkSession, str] = {}
 _writers_lock = threading.Lock()
+_local = threading.local()
 
 
 @contextlib.contextmanager
@@ -90,9 +91,27 @@ def scratch(df: DataFrame, name: str, **options) -> DataFrame:
         df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    if getattr(_local, "tables", None) is not None:
+        _local.tables.append(out)
     return out
 
 
+@contextlib.contextmanager
+def cleared() -> Iterator[Callable[[DataFrame], None]]:
+    """Tables that `scratch` writes inside go at the end, but for those that are handed to what this gives."""
+    outer, kept = getattr(_local, "tables", None), []
+    _local.tables = own = []
+    try:
+        yield kept.append
+    finally:
+        _local.tables = outer
+        for t in own:
+            if all(t is not k for k in kept):
+                drop(t)
+            elif outer is not None:
+                outer.append(t)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that `scratch` gave, once nothing that is still to run reads it."""
     p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)

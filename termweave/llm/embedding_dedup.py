@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, scratch
+from .common import cleared, components, scratch
 
 BUCKET, CHUNK = 256, 1024
 MISS = 0.002
@@ -136,6 +136,16 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     # -0.0 and 0.0 are one value in a group's key
     body = F.sha2(F.to_json(F.struct(F.col("_label").alias("l"), F.transform("_v", lambda c: c + F.lit(0.0)).alias("v"))).cast("binary"), 256)
     rows = rows.withColumn("_k", F.when(fit, F.unhex(body)))
+    with cleared() as keep:
+        named = _names(rows, given, threshold)
+        keep(named)
+    out = rows.join(named, "_k", "left")
+    component = F.when(F.col("n_links").isNull(), F.col("_id")).otherwise(F.col("component_id"))
+    return out.select(*(F.col("_row")[c].alias(c) for c in names), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(False)).alias("kept"))
+
+
+def _names(rows: DataFrame, given: str, threshold: float) -> DataFrame:
+    """(_k, n_links, component_id) of each distinct vector of ``rows`` (_k, _id, _label, _v)."""
     groups = rows.where("_k is not null").groupBy("_k").agg(F.first("_label").alias("label"), F.first(F.col("_v").cast(f"array<{given}>")).alias("v"), F.min("_id").alias("id"), F.count("*").alias("copies"))
     groups = scratch(groups.select(F.monotonically_increasing_id().alias("node"), F.xxhash64("label", F.size("v")).alias("part"), "*"), "vectors")
     largest = groups.groupBy("label", F.size("v")).count().agg(F.max("count")).first()[0] or 0
@@ -176,10 +186,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     counts = found.where("other < 0").groupBy("node").agg(F.sum("n").alias("n"))
     named = groups.select("_k", "node", "id", "copies").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names_ = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = named.join(names_, "root").select("_k", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.join(named, "_k", "left")
-    component = F.when(F.col("n_links").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    return out.select(*(F.col("_row")[c].alias(c) for c in names), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(False)).alias("kept"))
+    return scratch(named.join(names_, "root").select("_k", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "vector-names")
 
 
 def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .bpe import slices
-from .common import components, drop, scratch, text_key
+from .common import cleared, components, drop, scratch, text_key
 from .words import mixed
 
 WORDS = 5
@@ -208,7 +208,14 @@ def weights(texts: DataFrame, idf: Idf) -> DataFrame:
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(text key, node, root, class): for each distinct text with a word, the class it belongs to and its smallest doc_id."""
+    """(k, root, class_id): for each distinct text with a word, by its key, the class it belongs to and its smallest doc_id."""
+    with cleared() as keep:
+        out = _classes(df, key, text, threshold)
+        keep(out)
+    return out
+
+
+def _classes(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     t = Fraction(str(threshold))
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), text_key(F.col(text)).alias("k")).where(F.col("text").rlike(r"[^ \t-\r]"))
     texts = rows.groupBy("k").agg(F.first("text").alias("text"), F.min("id").alias("id"), F.count("*").alias("copies"))
