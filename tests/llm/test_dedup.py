@@ -285,6 +285,19 @@ def test_vectors_against_all_pairs(spark, monkeypatch, bucket, chunk):
     assert got == {i: (int(s[i].sum()), root[i], root[i] == i) for i in range(len(v))}
 
 
+def test_wide_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BUCKET", 4)
+    monkeypatch.setattr(embedding_dedup, "MISS", 1e-6)
+    g = np.random.default_rng(8)
+    base = g.normal(size=(10, 1536))
+    v = base[g.integers(0, 10, 60)] + g.normal(size=(60, 1536)) * g.choice([0.1, 0.25, 0.3], (60, 1))
+    s = cosine_links(v, np.zeros(60))
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+    root = brute.connected(range(60), zip(*np.nonzero(s)))
+    assert got == {i: (int(s[i].sum()), root[i]) for i in range(60)} and s.any()
+
+
 def test_vectors_odd_rows(spark):
     inf, nan = float("inf"), float("nan")
     a = [1.0, 0.0, 2.0]
