@@ -3,8 +3,8 @@
 Texts (lower case, white space collapsed) are cut into overlapping windows of WINDOW bytes. Each window is compressed
 twice with zstandard: with a dictionary trained on ordinary text, and with that one and, nearest to the window, a
 dictionary trained on toxic text; how many bytes the second saves is the window's distance. (With the toxic dictionary
-alone a window's harmless words compress worse by more than its toxic word saves: on held-out texts no choice of sizes
-found more than 0.4 of the toxic ones, with a tenth of the ordinary ones.)
+alone a window's harmless words compress worse by more than its toxic word saves: of some 20 settings tried none found more
+than 0.4 of the toxic texts, and that one marked a tenth of the ordinary ones.)
 
 Both dictionaries come from zstandard's trainer. Labels belong to whole texts, in which most windows are harmless, so the
 toxic one is trained on what sets toxic texts apart: the stretches of toxic training texts that consist of byte 7-grams
