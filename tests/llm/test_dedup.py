@@ -164,6 +164,26 @@ def test_lines_hot_tokens_are_salted(spark, monkeypatch):
     assert got == brute.lines(rows)
 
 
+def test_lines_are_cut_into_words_once(spark):
+    """A filter on the tokens, or the one that Spark adds to an inner explode, made them twice for the keys."""
+    df = spark.createDataFrame([(1, "a b c d e f\n\n g"), (2, None)], FIELDS)
+    docs, m = line_dedup.numbered(df, "doc_id", "text", queries.F.octet_length("text") + 2)
+    r = line_dedup.rarity(docs)
+    keys = line_dedup.keys_of(line_dedup.token_lines(docs, m, r.table), r, Fraction(4, 5))
+    assert keys._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 1
+    assert {x.lid % m for x in keys.select("lid").distinct().collect()} == {0, 2}
+
+
+def test_lines_fetched_once_and_rarity_of_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "ALL_OF", 5)
+    monkeypatch.setattr(line_dedup, "SMALL", 8)
+    made, word_sets = [], line_dedup.word_sets
+    monkeypatch.setattr(line_dedup, "word_sets", lambda *a: made.append(1) or word_sets(*a))
+    rows = near_lines(5, 80)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, FIELDS)).collect()}
+    assert got == brute.lines(rows) and len(made) == 1
+
+
 def test_lines_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, None), (2, ""), (3, "\n \n\t\n"), (1 << 62, "a b c d e f\nq"), (-(1 << 62), "x y\ny  x\nz"), (5, "A b c d e"), (5, "y x\nnew"), (5, "y x\nnew")]
     df = spark.createDataFrame([(*r, 1) for r in rows], FIELDS + ", n_lines int")
